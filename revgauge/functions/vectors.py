@@ -16,7 +16,7 @@ def _col(c) -> Column:
 def parse_vector_text(text) -> Column:
     """``"[0.1 0.2 ...]"``, also over several lines, to an array of doubles."""
     flat = F.translate(_col(text), "[]\n\r\t", "     ")
-    return F.array_remove(F.split(flat, r"\s+"), "").cast("array<double>")
+    return F.array_remove(F.split(flat, r"\s+"), "").try_cast("array<double>")
 
 
 def format_vector(v) -> Column:
@@ -34,11 +34,12 @@ def l2_norm(v) -> Column:
 
 def scale(v, factor) -> Column:
     factor = F.lit(factor) if isinstance(factor, (int, float)) else _col(factor)
-    return F.transform(_col(v), lambda x: x.cast("double") * factor)
+    return F.when(factor.isNotNull(), F.transform(_col(v), lambda x: x.cast("double") * factor))
 
 
 def unit(v) -> Column:
-    return scale(v, 1.0 / l2_norm(v))
+    """Length 1; a zero vector has no direction and becomes NULL."""
+    return scale(v, F.try_divide(F.lit(1.0), l2_norm(v)))
 
 
 def matrix_of(array: pa.Array, width: int) -> np.ndarray:

@@ -49,14 +49,15 @@ def with_staleness_penalty(entities: DataFrame, as_of, days_per_year: float = fv
     """Staleness from the last review, and exp(-rate * staleness) with the rate set so that the 75th percentile of
     staleness is penalised to ``target``. ``as_of`` is a timestamp or a scalar column.
 
-    Staleness is whole days, so the exact percentile keeps one counter per distinct day.
+    Staleness is whole days, so the exact percentile keeps one counter per distinct day. If it is 0 there is no
+    finite rate: fresh entities get NULL, all others 0.
     """
     as_of = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
     staleness = dates.age_years_days("most_recent_review_date", as_of, days_per_year)
     stale = entities.withColumn("staleness_years", staleness)
     p75 = stale.agg(F.percentile("staleness_years", F.lit(0.75))).scalar()
-    rate = -F.ln(F.lit(target)) / p75
-    return stale.withColumn("penalty_factor", F.exp(-rate * F.col("staleness_years")))
+    decay = F.exp(F.try_divide(F.ln(F.lit(target)), p75) * F.col("staleness_years"))
+    return stale.withColumn("penalty_factor", F.coalesce(decay, F.when(F.col("staleness_years") > 0, F.lit(0.0))))
 
 
 def with_penalized_vectors(entities: DataFrame) -> DataFrame:

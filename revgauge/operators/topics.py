@@ -36,7 +36,7 @@ def cluster_representatives(df: DataFrame, cluster: str = "cluster", vector: str
     shuffled before the ranking, and each task forwards its best only.
     """
     centers = centroids(df, cluster, vector)
-    sim = vectors.dot(vector, "centroid") / (vectors.l2_norm(vector) * vectors.l2_norm("centroid"))
+    sim = F.try_divide(vectors.dot(vector, "centroid"), vectors.l2_norm(vector) * vectors.l2_norm("centroid"))
     best = Window.partitionBy(cluster).orderBy(F.desc("similarity"), id_column)
     return (df.select(cluster, id_column, vector).join(centers, cluster)
             .select(cluster, id_column, sim.alias("similarity"))

@@ -103,7 +103,7 @@ def run_all(spark: SparkSession, csv_path: str, out: str, excluded=(), store: Da
 
     # the export is text-heavy and read in one task per file: spread it before the cleaning work
     raw = read_reviews_csv(spark, csv_path)
-    standard = stored("reviews_standard", standard_stage(raw, excluded).repartition("entity_id", "review_text_raw"))
+    standard = stored("reviews_standard", standard_stage(raw, excluded).hint("rebalance"))
     clean = stored("reviews_clean", clean_stage(standard))
     fresh = stored("embedded_new", embed_stage(clean, store, full, make_encoder, size))
     incremental = store is not None and not full and "review_hash" in store.columns

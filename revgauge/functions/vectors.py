@@ -54,22 +54,24 @@ def matrix_of(array: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def list_array(matrix: np.ndarray) -> pa.Array:
+def list_array(matrix: np.ndarray, missing: np.ndarray) -> pa.Array:
     rows, width = matrix.shape
     offsets = np.arange(rows + 1, dtype="int32") * width
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel()))
+    values = pa.array(np.ascontiguousarray(matrix).ravel())
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(missing))
 
 
 def dots_with(v, fixed: np.ndarray) -> Column:
     """Dot products with each row of a small fixed matrix, as an array in row order.
 
-    One matrix product per Arrow batch; measured several times faster than nested array functions on 384 numbers.
+    A missing vector, or one with NaN, has no products (NULL). One matrix product per Arrow batch; measured several times faster than nested array functions on 384 numbers.
     """
     width = fixed.shape[1]
     right = np.ascontiguousarray(fixed.T, dtype="float64")
 
     @arrow_udf("array<double>")
     def product(vectors: pa.Array) -> pa.Array:
-        return list_array(matrix_of(vectors, width) @ right)
+        rows = matrix_of(vectors, width)
+        return list_array(rows @ right, np.isnan(rows).any(axis=1))
 
     return product(_col(v))

@@ -1 +1,54 @@
-"""To be filled."""
+"""Similarity and topics."""
+
+from catalog import views as v
+from catalog.base import query, shaped
+from revgauge.operators import similarity, topics
+
+IDS = [0, 17, 4242]
+
+
+def _near_sql(extra=""):
+    return f"""WITH {v.F2}, p AS (SELECT a.review_id AS query_id, b.review_id AS item_id,
+  list_cosine_similarity(a.embedding, b.embedding) AS similarity FROM f2 a JOIN f2 b ON a.review_id <> b.review_id {extra}
+  WHERE a.review_id IN ({", ".join(map(str, IDS))})),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, item_id) AS rank FROM p)
+SELECT query_id, item_id, round(similarity, 6) + 0.0 AS similarity, rank FROM r WHERE rank <= 5"""
+
+
+@query("similar_reviews", _near_sql())
+def similar_reviews(spark, d):
+    return shaped(similarity.similar_reviews(v.vector_reviews(spark, d), IDS))
+
+
+@query("similar_reviews_other_entity", _near_sql("AND a.entity_id <> b.entity_id"))
+def similar_reviews_other_entity(spark, d):
+    return shaped(similarity.similar_reviews_other_entity(v.vector_reviews(spark, d), IDS))
+
+
+@query("similar_entities", f"""WITH {v.VEC}, p AS (SELECT a.entity_id AS query_id, b.entity_id AS item_id,
+  sum(a.v * b.v) AS similarity FROM mean_vec a JOIN mean_vec b ON a.pos = b.pos AND a.entity_id <> b.entity_id
+  WHERE a.entity_id IN (3, 7, 11) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM p)
+SELECT query_id, item_id, round(similarity, 6) + 0.0 AS similarity, rank FROM r WHERE rank <= 5""")
+def similar_entities(spark, d):
+    return shaped(similarity.similar_entities(v.mean_vectors(spark, d), [3, 7, 11]))
+
+
+@query("kmeans_topics")
+def kmeans_topics(spark, d):
+    return shaped(topics.cluster_sizes(topics.kmeans_topics(v.vector_reviews(spark, d))))
+
+
+@query("cluster_sizes", f"WITH {v.F2} SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM f2 GROUP BY label")
+def cluster_sizes(spark, d):
+    return shaped(topics.cluster_sizes(v.vector_reviews(spark, d), "label"))
+
+
+@query("cluster_representatives", f"""WITH {v.F2}, x AS (SELECT label, unnest(embedding) AS x,
+  generate_subscripts(embedding, 1) AS pos FROM f2), m AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY ALL),
+c AS (SELECT label, list(m ORDER BY pos) AS cv FROM m GROUP BY label),
+s AS (SELECT label, review_id, list_cosine_similarity(embedding, cv) AS similarity FROM f2 JOIN c USING (label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(similarity, 9) DESC, review_id) AS rank FROM s)
+SELECT CAST(label AS BIGINT) AS label, review_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""")
+def cluster_representatives(spark, d):
+    return shaped(topics.cluster_representatives(v.vector_reviews(spark, d), "label"))

@@ -1 +1,34 @@
-"""To be filled."""
+"""Streaming ingest and volume."""
+
+from pyspark.sql import functions as F
+
+from catalog.base import query, shaped, table
+from catalog.intake import CONTENT
+from revgauge.operators import dedup
+from revgauge.session import scratch_dir
+from revgauge.streaming import ingest
+
+
+def _stream(spark, d, name, **options):
+    schema = table(spark, d, name).schema
+    return spark.readStream.schema(schema).options(pathGlobFilter=f"{name}.parquet", **options).parquet(d)
+
+
+@query("stream_dedup_ingest", f"WITH {CONTENT} SELECT min(review_id) AS review_id, review_hash FROM ct GROUP BY review_hash")
+def stream_dedup_ingest(spark, d):
+    store, mark = scratch_dir(spark, "stream-store"), scratch_dir(spark, "stream-mark")
+    rows = _stream(spark, d, "documents").select(
+        F.col("doc_id").alias("review_id"), F.col("source").alias("entity_id"), F.col("text").alias("review_text_raw"),
+        F.lit(None).cast("timestamp_ntz").alias("review_date"), F.lit(None).cast("string").alias("reviewer_name"))
+    hashed = dedup.with_review_hash(rows).select("review_id", "review_hash")
+    ingest.append_new_reviews(hashed, store, mark).awaitTermination()
+    return shaped(spark.read.parquet(store).select("review_id", "review_hash"))
+
+
+@query("stream_review_volume", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS period_start,
+  count(*) AS n FROM events GROUP BY ALL""")
+def stream_review_volume(spark, d):
+    out, mark = scratch_dir(spark, "volume"), scratch_dir(spark, "volume-mark")
+    volume = ingest.review_volume(_stream(spark, d, "events"), ts="ts")
+    ingest.write_volume(volume, out, mark).awaitTermination()
+    return shaped(ingest.read_volume(spark, out))

@@ -121,15 +121,22 @@ def remove_stopwords(tokens, stopwords=None) -> Column:
     return F.filter(_col(tokens), lambda t: ~t.isin(words) & (F.length(t) > 2))
 
 
+def _once(value, use) -> Column:
+    """``use(value)`` with the value computed once per row: inside a lambda it would be computed per element."""
+    return F.get(F.transform(F.array(_col(value)), use), F.lit(0))
+
+
 def ngrams(tokens, n: int) -> Column:
     """All runs of ``n`` neighbouring tokens, joined by a blank."""
-    tokens = _col(tokens)
     if n == 1:
-        return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(
-        F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    ).otherwise(F.array().cast("array<string>"))
+        return _col(tokens)
+
+    def runs(t):
+        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return _once(tokens, runs)
 
 
 def strip_prompts(text) -> Column:

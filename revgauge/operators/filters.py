@@ -89,11 +89,12 @@ def reviews_of(reviews: DataFrame, entities: DataFrame) -> DataFrame:
 
 def quartile_ranges(bounds: DataFrame) -> DataFrame:
     """Low, medium and high ranges from one row of ``low, q1, q3, high`` (whole numbers)."""
-    return bounds.select(F.explode(F.array(
-        F.struct(F.lit("low").alias("category"), F.col("low").alias("range_min"), F.col("q1").alias("range_max")),
-        F.struct(F.lit("medium"), F.col("q1") + 1, F.col("q3")),
-        F.struct(F.lit("high"), F.col("q3") + 1, F.col("high")),
-    )).alias("r")).select("r.*")
+    def span(name, low, high):
+        return F.struct(F.lit(name).alias("category"), low.alias("range_min"), high.alias("range_max"))
+
+    c = F.col
+    return bounds.select(F.inline(F.array(span("low", c("low"), c("q1")), span("medium", c("q1") + 1, c("q3")),
+                                          span("high", c("q3") + 1, c("high")))))
 
 
 def whole_quartiles(df: DataFrame, column: str) -> DataFrame:

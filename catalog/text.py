@@ -6,6 +6,7 @@ from catalog import views as v
 from catalog.base import query, shaped, table
 from revgauge import fixed_values as fv
 from revgauge.functions import text
+from revgauge.session import spread
 from revgauge.operators import dedup, encode, filters, lexical, topics
 
 _LEX_ANY = r"regexp_extract_all(lower({c}), '[a-z0-9'']{{2,}}')"
@@ -16,13 +17,13 @@ SQL_ENGLISH = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(fv.
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _scalar(name, function, sql, source="documents", key="doc_id", column="text"):
     @query(name, sql and f"SELECT {key}, {sql} AS out FROM {source}")
     def run(spark, d):
-        return shaped(table(spark, d, source).select(key, function(column).alias("out")))
+        return shaped(spread(table(spark, d, source).select(key, column), key).select(key, function(column).alias("out")))
 
 
 _scalar("flatten_breaks", text.flatten_breaks, r"regexp_replace(text, '[\r\n\t]+', ' ', 'g')")

@@ -9,7 +9,7 @@ from catalog.base import table
 from revgauge import fixed_values as fv
 from revgauge.functions import text
 from revgauge.operators import rollup, scoring
-from revgauge.session import via_table
+from revgauge.session import spread, via_table
 
 DIMS = ("trust", "listening", "clarity", "responsiveness", "life_events", "expertise")
 NAMES = ("The Eron, CFP®", "Ander Onth", "La Réaux", "Der Und", "Que Ción", "In The", "MS Jdan")
@@ -27,6 +27,7 @@ def _type(user) -> object:
 def text_reviews(spark: SparkSession, d: str) -> DataFrame:
     """One review per document."""
     docs, events, labels = (table(spark, d, t) for t in ("documents", "events", "labels"))
+    docs = spread(docs.select("doc_id", "text", "source"), "doc_id")
     user = F.col("user_id")
     joined = docs.join(events.select("event_id", "ts", "user_id"), docs.doc_id == F.col("event_id")).join(
         labels.select("doc_id", "quality"), "doc_id", "left")
@@ -50,7 +51,7 @@ F1 = f"""f1 AS (
 
 def vector_reviews(spark: SparkSession, d: str) -> DataFrame:
     """One vector review per event; vectors repeat when there are fewer of them."""
-    events, emb = table(spark, d, "events"), table(spark, d, "embeddings")
+    events, emb = spread(table(spark, d, "events"), "event_id"), table(spark, d, "embeddings")
     n = emb.agg(F.count(F.lit(1))).scalar()
     user = F.col("user_id")
     return (events.withColumn("vec_id", F.col("event_id") % n).join(emb.select("vec_id", "embedding", "label"), "vec_id")

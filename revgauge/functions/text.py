@@ -54,28 +54,46 @@ def html_unescape(text) -> Column:
     return _unescape(_col(text))
 
 
+def _once(value, use) -> Column:
+    """``use(value)`` with the value computed once per row: inside a lambda it would be computed per element."""
+    return F.get(F.transform(F.array(_col(value)), use), F.lit(0))
+
+
+def _has_any(text: Column, needles) -> Column:
+    out = F.contains(text, F.lit(needles[0]))
+    for n in needles[1:]:
+        out = out | F.contains(text, F.lit(n))
+    return out
+
+
+def _where_has(text, needles, replace) -> Column:
+    """``replace(text)`` only for texts that hold one of the needles every match must contain: a byte search is far
+    cheaper than a pattern, and most texts hold none."""
+    return _once(text, lambda t: F.when(_has_any(t, needles), replace(t)).otherwise(t))
+
+
 def flatten_breaks(text) -> Column:
     return F.regexp_replace(_col(text), r"[\r\n\t]+", " ")
 
 
 def strip_urls(text) -> Column:
-    return F.regexp_replace(_col(text), rf"(?U)http{INK}+|www\.{INK}+|www{INK}+", " ")
+    pattern = rf"(?U)http{INK}+|www\.{INK}+|www{INK}+"
+    return _where_has(text, ["http", "www"], lambda t: F.regexp_replace(t, pattern, " "))
 
 
 def strip_emails(text) -> Column:
     # the look-behind starts a match only where a run of ink begins: same result, no quadratic rescans
-    return F.regexp_replace(_col(text), rf"(?U)(?<!{INK}){INK}+@{INK}+", " ")
+    pattern = rf"(?U)(?<!{INK}){INK}+@{INK}+"
+    return _where_has(text, ["@"], lambda t: F.regexp_replace(t, pattern, " "))
 
 
 def strip_bullets(text) -> Column:
-    return F.regexp_replace(_col(text), "[•▪►◆■│]+", " ")
+    return _where_has(text, "•▪►◆■│", lambda t: F.regexp_replace(t, "[•▪►◆■│]+", " "))
 
 
 def strip_boilerplate(text) -> Column:
-    out = _col(text)
-    for pattern in fv.BOILERPLATE_PATTERNS:
-        out = F.regexp_replace(out, "(?iud)" + pattern, " ")
-    return out
+    # each pattern runs to the end of the line, so one pass over both equals one pass each
+    return F.regexp_replace(_col(text), "(?iud)" + "|".join(fv.BOILERPLATE_PATTERNS), " ")
 
 
 def collapse_whitespace(text) -> Column:
@@ -84,7 +102,8 @@ def collapse_whitespace(text) -> Column:
 
 def collapse_punct(text) -> Column:
     """Three or more of the same ``! ? . ,`` become one."""
-    return F.regexp_replace(_col(text), r"([!?.,])\1{2,}", "$1")
+    return _where_has(text, ["!!!", "???", "...", ",,,"],
+                      lambda t: F.regexp_replace(t, r"([!?.,])\1{2,}", "$1"))
 
 
 def collapse_stretch(text) -> Column:
@@ -121,11 +140,6 @@ def remove_stopwords(tokens, stopwords=None) -> Column:
     return F.filter(_col(tokens), lambda t: ~t.isin(words) & (F.length(t) > 2))
 
 
-def _once(value, use) -> Column:
-    """``use(value)`` with the value computed once per row: inside a lambda it would be computed per element."""
-    return F.get(F.transform(F.array(_col(value)), use), F.lit(0))
-
-
 def ngrams(tokens, n: int) -> Column:
     """All runs of ``n`` neighbouring tokens, joined by a blank."""
     if n == 1:
@@ -141,7 +155,17 @@ def ngrams(tokens, n: int) -> Column:
 
 def strip_prompts(text) -> Column:
     pattern = "(?iUd)" + "|".join(_unicode_blanks(p) for p in fv.PROMPT_PATTERNS)
-    return collapse_whitespace(F.regexp_replace(_col(text), pattern, " "))
+
+    def stripped(v):
+        # words every prompt must contain; the odd letters are other cases of s and i, which lower() keeps apart
+        t, low = v["t"], v["low"]
+        possible = (_has_any(low, ["things", "feedback", "hear", "scale", "rate", "&amp", "capital"])
+                    | (F.contains(low, F.lit("how")) & _has_any(low, ["feel", "describe", "likely"]))
+                    | _has_any(t, "ſİı"))
+        return F.when(possible, F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    text = _col(text)
+    return collapse_whitespace(_once(F.struct(text.alias("t"), F.lower(text).alias("low")), stripped))
 
 
 def normalize_name(name, word_bounded: bool = False) -> Column:
@@ -160,19 +184,23 @@ def normalize_name(name, word_bounded: bool = False) -> Column:
 def remove_entity_name(text, name) -> Column:
     """Delete the full normalised name, then its first and last word (three letters or more), as whole words.
 
-    Normalised names hold a-z and blanks only, so they are safe inside a pattern.
+    Normalised names hold a-z and blanks only, so they are safe inside a pattern. A text that
+    does not contain the letters is not searched for the word.
     """
-    adv = normalize_name(name)
-    parts = F.split(adv, " ")
-    out = F.lower(_col(text))
-    # an empty name must not match: "\b\b" would hit every word edge
-    full = F.when(F.length(adv) > 0, F.concat(F.lit(r"(?U)\b"), adv, F.lit(r"\b")))
-    out = F.when(full.isNotNull(), F.regexp_replace(out, full, F.lit(" "))).otherwise(out)
-    ends = F.filter(F.array_distinct(F.array(F.element_at(parts, 1), F.element_at(parts, -1))),
-                    lambda t: F.length(t) >= 3)
-    either = F.when(F.size(ends) > 0, F.concat(F.lit(r"(?U)\b(?:"), F.array_join(ends, "|"), F.lit(r")\b")))
-    out = F.when(either.isNotNull(), F.regexp_replace(out, either, F.lit(" "))).otherwise(out)
-    return collapse_whitespace(out)
+    def without(v, word, least):
+        pattern = F.concat(F.lit(r"(?U)\b"), word, F.lit(r"\b"))
+        wanted = (F.length(word) >= least) & F.contains(v, word)
+        return F.when(wanted, F.regexp_replace(v, pattern, F.lit(" "))).otherwise(v)
+
+    def removed(v):
+        adv = v["adv"]
+        parts = F.split(adv, " ")
+        out = without(v["low"], adv, 1)
+        out = _once(out, lambda t: without(t, F.element_at(parts, 1), 3))
+        return _once(out, lambda t: without(t, F.element_at(parts, -1), 3))
+
+    both = F.struct(F.lower(_col(text)).alias("low"), normalize_name(name).alias("adv"))
+    return collapse_whitespace(_once(both, removed))
 
 
 def strip_name_literal(text, name) -> Column:

@@ -49,6 +49,13 @@ def via_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(source: DataFrame, key: str) -> DataFrame:
+    """Spread a source table that comes in fewer pieces than there are cores (one small or unsplittable file) before
+    work that is heavy per row. Large tables have more pieces than cores and pass unchanged, without a shuffle."""
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores, key) if source.rdd.getNumPartitions() < cores else source
+
+
 def small_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that must be small (queries, group codes) on the driver; more than ``limit`` is an error."""
     rows = df.limit(limit + 1).collect()

@@ -52,9 +52,8 @@ F1 = f"""f1 AS (
 def vector_reviews(spark: SparkSession, d: str) -> DataFrame:
     """One vector review per event; vectors repeat when there are fewer of them."""
     events, emb = spread(table(spark, d, "events"), "event_id"), table(spark, d, "embeddings")
-    n = emb.agg(F.count(F.lit(1))).scalar()
     user = F.col("user_id")
-    return (events.withColumn("vec_id", F.col("event_id") % n).join(emb.select("vec_id", "embedding", "label"), "vec_id")
+    return (events.withColumn("vec_id", F.col("event_id") % emb.count()).join(emb.select("vec_id", "embedding", "label"), "vec_id")
             .select(F.col("event_id").alias("review_id"), user.alias("entity_id"),
                     F.concat(F.lit("Entity "), user.cast("string")).alias("entity_name"), _type(user).alias("entity_type"),
                     F.col("ts").alias("review_date"), F.col("event_type").alias("reviewer_name"),

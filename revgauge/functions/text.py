@@ -18,6 +18,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from revgauge import fixed_values as fv
+from revgauge.functions.binding import once
 
 BLANK = r"[\s\x1c-\x1f]"
 INK = r"[^\s\x1c-\x1f]"
@@ -54,11 +55,6 @@ def html_unescape(text) -> Column:
     return _unescape(_col(text))
 
 
-def _once(value, use) -> Column:
-    """``use(value)`` with the value computed once per row: inside a lambda it would be computed per element."""
-    return F.get(F.transform(F.array(_col(value)), use), F.lit(0))
-
-
 def _has_any(text: Column, needles) -> Column:
     out = F.contains(text, F.lit(needles[0]))
     for n in needles[1:]:
@@ -69,7 +65,7 @@ def _has_any(text: Column, needles) -> Column:
 def _where_has(text, needles, replace) -> Column:
     """``replace(text)`` only for texts that hold one of the needles every match must contain: a byte search is far
     cheaper than a pattern, and most texts hold none."""
-    return _once(text, lambda t: F.when(_has_any(t, needles), replace(t)).otherwise(t))
+    return once(text, lambda t: F.when(_has_any(t, needles), replace(t)).otherwise(t))
 
 
 def flatten_breaks(text) -> Column:
@@ -150,7 +146,7 @@ def ngrams(tokens, n: int) -> Column:
         joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
         return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
 
-    return _once(tokens, runs)
+    return once(tokens, runs)
 
 
 def strip_prompts(text) -> Column:
@@ -165,7 +161,7 @@ def strip_prompts(text) -> Column:
         return F.when(possible, F.regexp_replace(t, pattern, " ")).otherwise(t)
 
     text = _col(text)
-    return collapse_whitespace(_once(F.struct(text.alias("t"), F.lower(text).alias("low")), stripped))
+    return collapse_whitespace(once(F.struct(text.alias("t"), F.lower(text).alias("low")), stripped))
 
 
 def normalize_name(name, word_bounded: bool = False) -> Column:
@@ -196,11 +192,11 @@ def remove_entity_name(text, name) -> Column:
         adv = v["adv"]
         parts = F.split(adv, " ")
         out = without(v["low"], adv, 1)
-        out = _once(out, lambda t: without(t, F.element_at(parts, 1), 3))
-        return _once(out, lambda t: without(t, F.element_at(parts, -1), 3))
+        out = once(out, lambda t: without(t, F.element_at(parts, 1), 3))
+        return once(out, lambda t: without(t, F.element_at(parts, -1), 3))
 
     both = F.struct(F.lower(_col(text)).alias("low"), normalize_name(name).alias("adv"))
-    return collapse_whitespace(_once(both, removed))
+    return collapse_whitespace(once(both, removed))
 
 
 def strip_name_literal(text, name) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from revgauge.functions.binding import once
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -33,13 +35,15 @@ def l2_norm(v) -> Column:
 
 
 def scale(v, factor) -> Column:
-    factor = F.lit(factor) if isinstance(factor, (int, float)) else _col(factor)
-    return F.when(factor.isNotNull(), F.transform(_col(v), lambda x: x.cast("double") * factor))
+    """A missing factor gives a missing vector."""
+    factor = F.lit(float(factor)) if isinstance(factor, (int, float)) else _col(factor)
+    v = _col(v)
+    return once(factor, lambda f: F.when(f.isNotNull(), F.transform(v, lambda x: x.cast("double") * f)))
 
 
 def unit(v) -> Column:
     """Length 1; a zero vector has no direction and becomes NULL."""
-    return scale(v, F.try_divide(F.lit(1.0), l2_norm(v)))
+    return once(v, lambda w: scale(w, F.try_divide(F.lit(1.0), l2_norm(w))))
 
 
 def matrix_of(array: pa.Array, width: int) -> np.ndarray:

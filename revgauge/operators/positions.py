@@ -14,29 +14,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
-_ALL = "_all"
+SMALL_GROUP = 10_000
 
 
-def group_stats(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+def _group_stats(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Size, ends and cut points per group. Groups of few distinct values stay in one bucket and need no cuts."""
+    cuts = F.percentile_approx(value, F.lit([i / BUCKETS for i in range(1, BUCKETS)]), F.lit(1000))
     return counts.groupBy(*groups).agg(
         F.sum("n_at").alias("n_total"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.percentile_approx(value, F.lit([i / BUCKETS for i in range(1, BUCKETS)]), F.lit(1000)).alias("_cuts"),
-    )
+        F.when(F.count(F.lit(1)) > SMALL_GROUP, cuts).alias("_cuts"))
 
 
 def value_positions(df: DataFrame, groups: Sequence[str], value: str, member: Column | None = None) -> DataFrame:
     """One row per (group, distinct value): ``n_at`` rows at it, ``n_before`` rows below it, ``n_total`` in the
-    group, and the group's ``low`` and ``high``. NULL values do not count.
+    group, and the group's ``low`` and ``high``. NULL values do not count. Without groups the table is one group.
 
     With ``member`` only rows where it holds are counted, but every value gets its position among them. ``low`` and
     ``high`` then still span all values.
     """
+    groups = list(groups)
     weight = F.count(F.lit(1)) if member is None else F.count_if(member)
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(weight.alias("n_at"))
-    stats = group_stats(counts, groups, value)
-    cut = counts.join(stats, list(groups)).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    stats = _group_stats(counts, groups, value)
+    if groups:
+        cut = counts.join(stats, groups)
+    else:
+        one = stats.select(F.struct("*").alias("s")).scalar()
+        cut = counts.withColumn("_s", one).select(value, "n_at", "_s.*")
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    cut = cut.withColumn("_bucket", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
     within = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    # at most BUCKETS rows per group
     shift = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*groups, "_bucket").agg(F.sum("n_at").alias("_n"))
@@ -51,10 +59,8 @@ def value_positions(df: DataFrame, groups: Sequence[str], value: str, member: Co
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group; ``probs`` maps output column to probability."""
-    keys = list(groups) or [_ALL]
-    if not groups:
-        df = df.withColumn(_ALL, F.lit(1))
-    spots = value_positions(df.select(*keys, value), keys, value)
+    groups = list(groups)
+    spots = value_positions(df.select(*groups, value), groups, value)
     picks = []
     for name, q in probs.items():
         h = (F.col("n_total") - 1) * F.lit(float(q))
@@ -64,8 +70,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dic
         at_high = F.max(F.when(holds(high), F.col(value).cast("double")))
         part = F.max(h - low)
         picks.append((at_low + (at_high - at_low) * part).alias(name))
-    out = spots.groupBy(*keys).agg(*picks)
-    return out if groups else out.drop(_ALL)
+    return spots.groupBy(*groups).agg(*picks)
 
 
 def with_positions(rows: DataFrame, spots: DataFrame, groups: Sequence[str], value: str) -> DataFrame:

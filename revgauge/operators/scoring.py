@@ -92,25 +92,22 @@ def long_scores(entities: DataFrame, methods: Sequence[str] = fv.METHODS, compos
     ``"present"`` averages those there are.
     """
     dims = list(dims or dims_of(entities))
+    # one SQL expression: hundreds of separate Column calls would take longer to build than the query to run
     cells = []
     for m in methods:
-        sims = [F.col(f"sim_{m}_{d}").cast("double") for d in dims]
-        cells += [F.struct(F.lit(m).alias("method"), F.lit(d).alias("dim"), s.alias("score"))
-                  for d, s in zip(dims, sims)]
-        if composite:
-            cells.append(F.struct(F.lit(m).alias("method"), F.lit("composite").alias("dim"),
-                                  composite_score(sims, composite).alias("score")))
-    return entities.select("entity_id", "entity_name", "entity_type", "review_count",
-                           F.explode(F.array(*cells)).alias("_c")).select(
-        "entity_id", "entity_name", "entity_type", "review_count", "_c.*")
-
-
-def composite_score(sims: Sequence[Column], kind: str = "strict") -> Column:
+        sims = [f"CAST(`sim_{m}_{d}` AS DOUBLE)" for d in dims]
+        named = list(zip(dims, sims)) + ([("composite", _composite_sql(sims, composite))] if composite else [])
+        cells += [f"named_struct('method', '{m}', 'dim', '{d}', 'score', {s})" for d, s in named]
+    return entities.selectExpr("entity_id", "entity_name", "entity_type", "review_count",
+                               f"inline(array({', '.join(cells)}))")
+
+
+def _composite_sql(sims: Sequence[str], kind: str) -> str:
     if kind == "strict":
-        return sum(sims[1:], sims[0]) / F.lit(float(len(sims)))
-    total = sum((F.coalesce(s, F.lit(0.0)) for s in sims[1:]), F.coalesce(sims[0], F.lit(0.0)))
-    present = sum((s.isNotNull().cast("int") for s in sims[1:]), sims[0].isNotNull().cast("int"))
-    return F.when(present > 0, total / present)
+        return f"({' + '.join(sims)}) / {float(len(sims))}D"
+    total = " + ".join(f"coalesce({s}, 0D)" for s in sims)
+    present = " + ".join(f"int({s} IS NOT NULL)" for s in sims)
+    return f"try_divide({total}, {present})"
 
 
 def macro_totals(scored: DataFrame, dims: Sequence[str], entities: DataFrame | None = None,

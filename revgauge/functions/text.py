@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,18 +33,23 @@ def _unicode_blanks(pattern: str) -> str:
     return pattern.replace(r"\s", BLANK)
 
 
+def _change_some(texts: pa.Array, chosen: pa.Array, change) -> pa.Array:
+    """Apply a Python function to the chosen texts only."""
+    chosen = pc.fill_null(chosen, False)
+    if not pc.any(chosen).as_py():
+        return texts
+    changed = pa.array([change(t) for t in texts.filter(chosen).to_pylist()], texts.type)
+    return pc.replace_with_mask(texts, chosen, changed)
+
+
 @arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFKC")
+    return _change_some(texts, pc.invert(pc.string_is_ascii(texts)), lambda t: unicodedata.normalize("NFKC", t))
 
 
 @arrow_udf(StringType())
 def _unescape(texts: pa.Array) -> pa.Array:
-    marked = pc.fill_null(pc.match_substring(texts, "&"), False)
-    if not pc.any(marked).as_py():
-        return texts
-    decoded = pa.array([html.unescape(t) for t in texts.filter(marked).to_pylist()], texts.type)
-    return pc.replace_with_mask(texts, marked, decoded)
+    return _change_some(texts, pc.match_substring(texts, "&"), html.unescape)
 
 
 def unicode_nfkc(text) -> Column:

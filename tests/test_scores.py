@@ -31,7 +31,8 @@ def reviews():
 
 @pytest.fixture(scope="module")
 def df(spark, reviews):
-    rows = [(*t[:-3], [float(x) for x in t[-3]], *t[-2:]) for t in reviews.itertuples(index=False)]
+    rows = [(*t[:4], t.review_date.to_pydatetime(), t.token_count, [float(x) for x in t.embedding], *t[-2:])
+            for t in reviews.itertuples(index=False)]
     schema = ("review_id long, entity_id string, entity_name string, entity_type string, review_date timestamp_ntz, "
               "token_count long, embedding array<float>, reviewer_name string, review_text_raw string")
     return spark.createDataFrame(rows, schema).repartition(5)

@@ -1,9 +1,10 @@
 """Exact positions in sorted order, without sorting a whole group in one task.
 
 A pool such as "all people, one dimension" can hold most rows of the table, so a window over it would be one task.
-Here equal values are counted first (combined before the shuffle), the distinct values of each group are cut into
-buckets at approximate quantiles, running counts are taken inside each bucket, and bucket totals shift them. The cut
-points only balance the work; the positions are exact.
+Here equal values are counted first (combined before the shuffle), values are cut into buckets at approximate
+quantiles of the whole column, running counts are taken inside each (group, bucket), and the totals of lower buckets
+shift them. A bucket holds an even share of all values, so no (group, bucket) holds more, however large its group. The
+cuts only balance the work; the positions are exact.
 """
 
 from __future__ import annotations
@@ -13,16 +14,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-SMALL_GROUP = 10_000
+MAX_BUCKETS = 1024
+ROWS_PER_BUCKET = 1_000_000
 
 
-def _group_stats(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Size, ends and cut points per group. Groups of few distinct values stay in one bucket and need no cuts."""
-    cuts = F.percentile_approx(value, F.lit([i / BUCKETS for i in range(1, BUCKETS)]), F.lit(1000))
-    return counts.groupBy(*groups).agg(
-        F.sum("n_at").alias("n_total"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.when(F.count(F.lit(1)) > SMALL_GROUP, cuts).alias("_cuts"))
+def _cuts(df: DataFrame, value: str) -> Column:
+    """Sorted cut points as one scalar: none for a small table, at most ``MAX_BUCKETS - 1``. They come from every
+    16th value by hash."""
+    probs = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
+    sampled = f"CASE WHEN pmod(xxhash64(`{value}`), 16) = 0 THEN `{value}` END"
+    whole = df.agg(F.expr(f"percentile_approx({sampled}, array({probs}), 10000)").alias("c"),
+                   F.count(F.lit(1)).alias("n"))
+    buckets = F.least(F.lit(MAX_BUCKETS), F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(ROWS_PER_BUCKET))))
+    return whole.select("c", F.floor(F.lit(MAX_BUCKETS) / buckets).alias("step")).select(
+        F.filter("c", lambda c, i: (i + 1) % F.col("step") == 0).alias("cuts")).scalar()
+
+
+def _bucket(value: str, cuts: Column) -> Column:
+    """How many of the sorted cuts lie below the value, by halving; reading past the end is NULL and counts as above."""
+    steps = F.lit([MAX_BUCKETS >> i for i in range(1, MAX_BUCKETS.bit_length())])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
+        F.get(cuts, at + step - 1) < F.col(value), step).otherwise(0))
+    # never NULL: otherwise the later join would test it on every row before the counting
+    return F.coalesce(below, F.lit(0))
 
 
 def value_positions(df: DataFrame, groups: Sequence[str], value: str, member: Column | None = None) -> DataFrame:
@@ -33,26 +47,25 @@ def value_positions(df: DataFrame, groups: Sequence[str], value: str, member: Co
     ``high`` then still span all values.
     """
     groups = list(groups)
+    present = df.where(F.col(value).isNotNull())
     weight = F.count(F.lit(1)) if member is None else F.count_if(member)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(weight.alias("n_at"))
-    stats = _group_stats(counts, groups, value)
-    if groups:
-        cut = counts.join(stats, groups)
-    else:
-        one = stats.select(F.struct("*").alias("s")).scalar()
-        cut = counts.withColumn("_s", one).select(value, "n_at", "_s.*")
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    cut = cut.withColumn("_bucket", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+    counts = present.groupBy(*groups, value).agg(weight.alias("n_at"))
+    cut = (counts.withColumn("_cuts", _cuts(present, value)).withColumn("_bucket", _bucket(value, F.col("_cuts")))
+           .drop("_cuts"))
     within = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    # at most BUCKETS rows per group
-    shift = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*groups, "_bucket").agg(F.sum("n_at").alias("_n"))
-        .select(*groups, "_bucket", F.coalesce(F.sum("_n").over(shift), F.lit(0)).alias("_offset"))
+    # one row per bucket from here on: at most MAX_BUCKETS in a group
+    group = Window.partitionBy(*groups)
+    lower = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        cut.groupBy(*groups, "_bucket").agg(F.sum("n_at").alias("_n"), F.min(value).alias("_lo"),
+                                            F.max(value).alias("_hi"))
+        .select(*groups, "_bucket", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_offset"),
+                F.sum("_n").over(group).alias("n_total"), F.min("_lo").over(group).alias("low"),
+                F.max("_hi").over(group).alias("high"))
     )
     return (
         cut.withColumn("_run", F.coalesce(F.sum("n_at").over(within), F.lit(0)))
-        .join(offsets, [*groups, "_bucket"])
+        .join(buckets, [*groups, "_bucket"])
         .select(*groups, value, "n_at", (F.col("_run") + F.col("_offset")).alias("n_before"), "n_total", "low", "high")
     )
 

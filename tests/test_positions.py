@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from revgauge.operators import positions, ranking
 
 
-@pytest.fixture(params=[10_000, 0], ids=["one bucket", "bucketed"])
+@pytest.fixture(params=[1_000_000, 300, 1], ids=["one bucket", "some buckets", "most buckets"])
 def buckets(request, monkeypatch):
-    monkeypatch.setattr(positions, "SMALL_GROUP", request.param)
+    monkeypatch.setattr(positions, "ROWS_PER_BUCKET", request.param)
 
 
 def sample():

@@ -154,8 +154,8 @@ def links(fps: DataFrame, within: int = 4, bucket: int = BUCKET) -> DataFrame:
     larger than ``bucket`` emit all variants of the whole fingerprint within half the distance instead: any two that
     meet there are within the distance, and each variant links its members to the smallest of them.
     """
-    distinct = fps.select("fp").where("fp is not null").distinct()
     spark, n = fps.sparkSession, shuffle_width(fps.sparkSession)
+    distinct = fps.select("fp").where("fp is not null").distinct().repartition(n, "fp")   # each row becomes many
     reach = -(-(within * 2 // 3) // 2)   # two of three blocks hold two thirds of the differing bits at most
     balls = []
     for tag in range(3):

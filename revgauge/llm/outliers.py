@@ -18,7 +18,7 @@ BLANKS = "[ \\t-\\r]+"
 PLACE_BITS = 24
 FEATURES = ("f_words", "f_word_length", "f_symbols", "f_dup_lines", "f_repeats")
 #: Smallest standard deviation of each feature in an estimate: many texts have no symbols or repeats at all.
-FLOOR = (0.25, 0.05, 0.5, 0.5, 0.5)
+FLOOR = (0.25, 0.05, 0.5, 1.0, 1.0)
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgauge.llm import decontaminate, langid, outliers, packing, simhash, suffix
+from revgauge.llm import decontaminate, langid, outliers, packing, quality, sentences, simhash, suffix
 from revgauge.llm.base import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,15 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     found = outliers.quality_rules(table(spark, d, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                         F.round("d2", 6).alias("distance2"))
+
+
+@query("op7_quality_discriminant")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"), crc_mod() == 2)
+
+
+@query("op4_sentence_spans")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    found = sentences.drop_repeated_spans(table(spark, d, "documents"))
+    return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"),
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "kept")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgauge.llm import decontaminate, langid, outliers, packing, quality, sentences, simhash, suffix
+from revgauge.llm import decontaminate, html, langid, outliers, packing, quality, sentences, simhash, suffix
 from revgauge.llm.base import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     found = sentences.drop_repeated_spans(table(spark, d, "documents"))
     return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"),
                         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "kept")
+
+
+@query("op9_html_main_text")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return html.main_text(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgauge.llm import decontaminate, html, langid, outliers, packing, quality, sentences, simhash, suffix
+from revgauge.llm import decontaminate, html, langid, lm, outliers, packing, quality, sentences, simhash, suffix
 from revgauge.llm.base import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 @query("op9_html_main_text")
 def op9(spark: SparkSession, d: str) -> DataFrame:
     return html.main_text(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score(table(spark, d, "documents"))

@@ -22,7 +22,7 @@ SIDE, WIDTH, HIDDEN = 2, 16, 24
 CLASSES = HEADS + ENDINGS
 #: Every word of every text is masked with this chance in each pass over the corpus.
 MASKED = 0.1
-BATCH, RATE, PASSES = 2048, 0.5, 2
+BATCH, RATE, PASSES = 2048, 0.15, 2
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 300_000
 SLICES = 32

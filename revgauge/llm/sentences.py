@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revgauge.llm.base import mix64, shuffle_width, signed, stored, texts
-from revgauge.llm.suffix import _rerank
+from revgauge.llm.suffix import again, rerank
 
 #: A sentence ends after stops that stand before a blank, or at a line's end.
 END = re.compile(rb"[.!?]+(?=[\s\"')\]]|$)[\"')\]]*\s*|\n\s*|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+\s*")
@@ -50,7 +50,9 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[
                 column.append(values)
         if out[0]:
             x, y, doc, at = (np.concatenate(c) for c in out)
-            yield pa.record_batch([pa.array(signed(x)), pa.array(signed(y)), pa.array(doc), pa.array(at)], ["x", "y", "doc_id", "at"])
+            x, y = signed(x), signed(y)
+            yield pa.record_batch([pa.array(x), pa.array(y), pa.array(doc), pa.array(at), pa.array(again(x, y, doc))],
+                                  ["x", "y", "doc_id", "at", "known"])
 
 
 def _drop(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -81,10 +83,8 @@ def drop_repeated_spans(docs: DataFrame, size: int = 2, words: int = 10, text: s
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     runs = slim.where("doc_id is not null").mapInArrow(
-        partial(_runs, size=size, words=words), "x long, y long, doc_id long, at long")
-    ordered = runs.repartition(shuffle_width(spark), "x", "y").sortWithinPartitions("x", "y", "doc_id", "at")
-    later = stored(ordered.mapInArrow(partial(_rerank, scale=1), "doc_id long, at long, kind int").where("kind = 1")
-                   .select("doc_id", "at"), "runs")
+        partial(_runs, size=size, words=words), "x long, y long, doc_id long, at long, known boolean")
+    later = stored(rerank(runs, ["x", "y"], 1, shuffle_width(spark)).where("kind = 1").select("doc_id", "at"), "runs")
     marked = later.groupBy("doc_id").agg(F.collect_list("at").alias("runs"))
     joined = slim.join(marked, "doc_id", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(partial(_drop, size=size), "doc_id long, n_sentences long, removed array<long>, kept string")

@@ -20,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,17 @@ PIECE = 1 << 20
 PACK = 1 << 10
 
 
+def again(x: np.ndarray, y: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the pair (x, y) stood before in the same text; rows come in the order of their places."""
+    order = np.lexsort((doc, y, x))   # stable: equal rows stay in order
+    a, b, c = x[order], y[order], doc[order]
+    again = np.zeros(len(x), bool)
+    again[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1])
+    return again
+
+
 def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(half, around, doc_id, place) of the places of every text."""
+    """(half, around, doc_id, place) of the places of every text; ``known``: a repeat of a place before in this text."""
     k = length // 2
     width = length - k + 1
     spans = SpanHash(PIECE + 4 * length)
@@ -71,8 +81,9 @@ def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             reach = (place - begin) * PACK + (end - place)
             around = mix64(spans.name(prefix, begin - a, end - a) + reach.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             where = (place - at[doc]) * PACK**2 + (place - lo) * PACK + (place - hi)
-            yield pa.record_batch([pa.array(signed(half[place - a])), pa.array(signed(around)), pa.array(ids[doc]),
-                                   pa.array(where)], ["x", "y", "doc_id", "at"])
+            x = signed(half[place - a])
+            yield pa.record_batch([pa.array(x), pa.array(signed(around)), pa.array(ids[doc]), pa.array(where),
+                                   pa.array(again(x, around, doc))], ["x", "y", "doc_id", "at", "known"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -92,18 +103,25 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 part, p = p[p < s + PIECE], p[p >= s + PIECE]
                 prefix = spans.prefix(flat[at[i] + s:min(at[i + 1], at[i] + s + PIECE + length)])
                 q = part - s
-                yield pa.record_batch([
-                    pa.array(signed(spans.name(prefix, q, q + k))), pa.array(signed(spans.name(prefix, q + k, q + length))),
-                    pa.array(np.full(len(q), ids[i])), pa.array(part)], ["x", "y", "doc_id", "at"])
+                x, y = signed(spans.name(prefix, q, q + k)), signed(spans.name(prefix, q + k, q + length))
+                doc = np.full(len(q), ids[i])
+                yield pa.record_batch([pa.array(x), pa.array(y), pa.array(doc), pa.array(part), pa.array(again(x, y, doc))],
+                                      ["x", "y", "doc_id", "at", "known"])
 
 
 def _rerank(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (x, y, doc_id, at): of each pair (x, y) all but the first place (kind 1), and the first places of
-    every x that has several y (kind 2). ``at // scale`` is the place. State: the current pair, and one waiting row."""
+    every x that has several y (kind 2). ``at // scale`` is the place. Rows marked ``known`` are repeats of places in their
+    own text and pass by. State: the current pair, and one waiting row."""
     pair: tuple = (None, None)
     head: tuple = (None, None)
     kinds, waiting = 0, []
     for batch in batches:
+        known = batch.filter(batch.column(4))
+        if known.num_rows:
+            yield pa.record_batch([known.column(2), known.column(3), pa.array(np.ones(known.num_rows, np.int32))],
+                                  ["doc_id", "at", "kind"])
+            batch = batch.filter(pc.invert(batch.column(4)))
         if not batch.num_rows:
             continue
         x, y, doc, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -137,7 +155,18 @@ def _rerank(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.Record
                                pa.array(np.concatenate(kind))], ["doc_id", "at", "kind"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def rerank(rows: DataFrame, by: list[str], scale: int, partitions: int) -> DataFrame:
+    """(doc_id, at, kind) of the repeats and the undecided among rows (x, y, doc_id, at, known); see ``_rerank``.
+
+    Rows meet on ``by``. A text that repeats itself thousands of times sends one row to the place where its pair is
+    ranked: its known repeats are dealt out by their places.
+    """
+    meet = F.when(F.col("known"), F.xxhash64("doc_id", "at")).otherwise(F.xxhash64(*by))
+    ordered = rows.repartition(partitions, meet).sortWithinPartitions("x", "y", "doc_id", "at")
+    return ordered.mapInArrow(partial(_rerank, scale=scale), "doc_id long, at long, kind int")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> Iterator[pa.RecordBatch]:
     """Joins the repeated strings of a text to spans, and cuts them out."""
     for batch in batches:
         flat, at = byte_columns(batch, "text")
@@ -160,12 +189,15 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             spans.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         yield pa.record_batch(
             [batch.column(0), pa.array(n_bytes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-             pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+             pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())],
+            ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id",
+                   as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) per row: the maximal byte spans covered by strings of ``length`` bytes that also
-    start earlier (in a smaller doc_id, or before in the same text), and the bytes left without them.
+    start earlier (in a smaller doc_id, or before in the same text), and the bytes left without them. ``as_text`` gives
+    what is left as a string: a character of which a part is cut goes as a whole.
 
     Texts are UTF-8 bytes, judged on the input; no match crosses texts; overlaps count. A null text counts as empty.
     Ids are integers and name a text: a row that repeats an id and its text gets the same answer as the first, and is
@@ -178,12 +210,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, text: str = "text", doc_i
     n = shuffle_width(spark)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = slim.where("doc_id is not null")
-    pairs = "x long, y long, doc_id long, at long"
-    marks = "doc_id long, at long, kind int"
+    pairs = "x long, y long, doc_id long, at long, known boolean"
 
     def ranked(rows: DataFrame, by: list[str], scale: int) -> DataFrame:
-        ordered = rows.repartition(n, *by).sortWithinPartitions("x", "y", "doc_id", "at")
-        return ordered.mapInArrow(partial(_rerank, scale=scale), marks)
+        return rerank(rows, by, scale, n)
 
     places = stored(ranked(named.mapInArrow(partial(_places, length=length), pairs), ["x"], PACK**2), "places")
     undecided = places.where("kind = 2").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
@@ -196,4 +226,5 @@ def repeated_spans(docs: DataFrame, length: int = 100, text: str = "text", doc_i
     covered = covered.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
     joined = slim.join(covered, "doc_id", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(
-        partial(_cut, length=length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+        partial(_cut, length=length, as_text=as_text),
+        f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")

@@ -1,20 +1,55 @@
-"""The corpus pipeline: near-duplicate removal so far; each stage is written and read again before the next."""
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Every stage works on all that its predecessor kept; ``run`` writes each stage and reads it again before the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revgauge.llm import decontaminate, langid, packing, simhash, suffix
+from revgauge.llm.base import crc_mod, stored, table
+from revgauge.llm.queries import tokenizer_path
+
 
-from revgauge.llm import simhash
-from revgauge.llm.base import stored, table
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language can be told: null texts and texts without a letter."""
+    learned = stored(langid.profiles(docs.where(crc_mod() != 2)), "profiles")
+    rejected = langid.predict(docs, learned).where(F.col("lang_pred") == langid.UNKNOWN).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_semi")
+    later = simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every byte covered by a 100-byte string that starts earlier in the corpus out of the texts; a character of
+    which a part is cut goes as a whole. Documents of which nothing is left go."""
+    cut = suffix.repeated_spans(docs, as_text=True).where(F.size("spans") > 0).select("doc_id", "kept").dropDuplicates(["doc_id"])
+    left = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept", "text"))
+    left = left.where("kept is null or length(trim(kept)) > 0")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a test item."""
+    found = decontaminate.passages(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.where(F.size("spans") > 0).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens; one row per piece."""
+    return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("suffix_array_dedup", repeated_passages),
+          ("decontamination", decontamination), ("packing", sequences)]
+#: Rank profiles, fingerprints and tokens cannot be expressed in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 

@@ -16,13 +16,20 @@ def _describe(col, p):
 
 
 def summary_sql(src="f1"):
-    return f"""SELECT t.reviews, r.rpe_count AS entities, r.*, t.* EXCLUDE (reviews) FROM
+    return f"""SELECT t.reviews, r.rpe_count AS entities, r.*, t.* EXCLUDE (reviews), g.rating_counts FROM
 (SELECT count(*) AS reviews, {_describe("token_count", "tokens")},
   round(avg(CAST(token_count < 20 AS INT)), 6) AS pct_under_20_tokens,
   round(avg(CAST(token_count < 50 AS INT)), 6) AS pct_under_50_tokens FROM {src}) t,
+(SELECT string_agg(coalesce(CAST(rating AS VARCHAR), 'none') || ':' || n, ',' ORDER BY rating NULLS FIRST) AS rating_counts
+  FROM (SELECT rating, count(*) AS n FROM {src} GROUP BY rating)) g,
 (SELECT {_describe("n", "rpe")} FROM (SELECT count(*) AS n FROM {src} GROUP BY entity_id)) r"""
 
 
+def flat_ratings(summary):
+    one = lambda s: F.concat(F.coalesce(s["rating"].cast("string"), F.lit("none")), F.lit(":"), s["n"].cast("string"))
+    return summary.withColumn("rating_counts", F.array_join(F.transform("rating_counts", one), ","))
+
+
 @query("quality_summary", f"""WITH {v.F1} SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_cols,
   count(DISTINCT entity_id) AS n_entities, count(DISTINCT entity_name) AS n_names,
   strftime(min(review_date), '%Y-%m-%d %H:%M:%S') AS date_min, strftime(max(review_date), '%Y-%m-%d %H:%M:%S') AS date_max,
@@ -45,7 +52,7 @@ def missing_report(spark, d):
 
 @query("eda_summary", f"WITH {v.F1} {summary_sql()}")
 def eda_summary(spark, d):
-    return shaped(corpus.eda_summary(v.text_reviews(spark, d)))
+    return flat_ratings(shaped(corpus.eda_summary(v.text_reviews(spark, d))))
 
 
 @query("describe_column", """SELECT count(o_totalprice) AS count, round(avg(o_totalprice), 4) AS mean,
@@ -74,7 +81,7 @@ def reviews_per_entity(spark, d):
 
 
 def _time_sql(freq, step, label):
-    return f"""WITH late AS (SELECT o_orderdate AS d FROM orders WHERE o_totalprice > 490000),
+    return f"""WITH late AS (SELECT o_orderdate AS d FROM orders WHERE month(o_orderdate) NOT IN (2, 7, 8, 9)),
 c AS (SELECT date_trunc('{freq}', d) AS s, count(*) AS n FROM late GROUP BY ALL),
 cal AS (SELECT unnest(generate_series(min(s), max(s), INTERVAL '{step}')) AS s FROM c)
 SELECT {label} AS period, coalesce(n, 0) AS n FROM cal LEFT JOIN c USING (s)"""
@@ -83,7 +90,8 @@ SELECT {label} AS period, coalesce(n, 0) AS n FROM cal LEFT JOIN c USING (s)"""
 def _over_time(freq, step, label, name):
     @query(name, _time_sql(freq, step, label))
     def run(spark, d):
-        late = table(spark, d, "orders").where(F.col("o_totalprice") > 490000)
+        # months without orders, and a quarter, must show as 0
+        late = table(spark, d, "orders").where(~F.month("o_orderdate").isin(2, 7, 8, 9))
         return shaped(corpus.reviews_over_time(late, freq, "o_orderdate"))
 
 
@@ -165,6 +173,18 @@ _ARGS = {"date_start": "2024-01-01 06:00:00", "date_end": "2024-01-03", "min_tok
          "min_reviews": 3, "max_reviews": 9}
 
 
+@query("eda_filter_entity_zero", f"WITH {v.F1} SELECT review_id, entity_id FROM f1 WHERE entity_id = 0")
+def eda_filter_entity_zero(spark, d):
+    return shaped(filters.eda_filter(v.text_reviews(spark, d), entity_id=0).select("review_id", "entity_id"))
+
+
+@query("eda_filter_rating_firm", f"WITH {v.F1} SELECT review_id, rating, entity_id % 3 AS firm_id FROM f1 "
+       "WHERE rating = 1 AND entity_id % 3 = 0")
+def eda_filter_rating_firm(spark, d):
+    rows = v.text_reviews(spark, d).withColumn("firm_id", F.col("entity_id") % 3)
+    return shaped(filters.eda_filter(rows, scope="firm", firm_id=0, rating=1).select("review_id", "rating", "firm_id"))
+
+
 @query("eda_filter", f"WITH {v.F1}, {_FILTER} SELECT review_id, entity_id, token_count FROM ff")
 def eda_filter(spark, d):
     return shaped(filters.eda_filter(v.text_reviews(spark, d), **_ARGS).select("review_id", "entity_id", "token_count"))
@@ -174,7 +194,7 @@ def eda_filter(spark, d):
 def eda_payload(spark, d):
     """The summary block of a filtered report; the other blocks are queries of their own."""
     blocks = ReviewQueries(spark, {"reviews": v.text_reviews(spark, d)}).eda_charts(**_ARGS)
-    return shaped(blocks["summary"])
+    return flat_ratings(shaped(blocks["summary"]))
 
 
 @query("quartile_category_filter", f"""WITH {v.F1}, b AS (SELECT min(token_count) AS lo,

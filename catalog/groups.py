@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from catalog.base import query, shaped, table
 from revgauge.operators import firms, groups, sampling
-from revgauge.session import small_rows
 
 FIRM, ENTITY = "2-HIGH", 11
 
@@ -75,9 +74,9 @@ s AS (SELECT *, sum(size) OVER (ORDER BY n_nationkey) AS last FROM g)
 SELECT entity_id, code AS partner_group_code, name AS partner_group_name FROM e JOIN s ON n BETWEEN last - size + 1 AND last
 """)
 def hash_group_assignment(spark, d):
-    nations = table(spark, d, "nation").orderBy("n_nationkey").select(F.col("n_nationkey").cast("string"), "n_name")
-    codes = [(r[0], r[1]) for r in small_rows(nations, 1000, "groups")]
-    return shaped(groups.hash_group_assignment(v.entity_scores(spark, d), codes))
+    nations = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("position"))
+    return shaped(groups.hash_group_assignment(v.entity_scores(spark, d), nations))
 
 
 @query("group_revalidation", f"""WITH {v.GROUPS} SELECT count(*) AS n_members,

@@ -34,19 +34,16 @@ RAW = f"""{v.F1}, raw AS (SELECT review_id, review_text_raw,
 
 
 @query("read_reviews_csv", f"""WITH {v.F1} SELECT CAST(review_id AS VARCHAR) AS "ID", 'A title, "quoted"' AS "Title",
-  review_text_raw AS "Content", reviewer_name, ' ' || entity_name AS notification_name FROM f1""")
+  review_text_raw AS "Content", CASE WHEN review_id % 4 > 0 THEN strftime(review_date, '%Y-%m-%d %H:%M:%S') ELSE 'soon' END AS "Date",
+  strftime(review_date, '%Y-%m-%d') AS "Post Modified Date", CASE WHEN entity_id % 3 > 0 THEN CASE WHEN entity_type = 'firm'
+    THEN '/advisory-firms/' ELSE '/people/' END || entity_id END AS notification_page, ' ' || entity_name AS notification_name,
+  reviewer_name, coalesce(CAST(CAST(rating AS INT) AS VARCHAR), 'n/a') AS acf_rating FROM f1""")
 def read_reviews_csv(spark, d):
     path = scratch_dir(spark, "export")
     # pandas-style quoting on the way out; a blank in front of a column name must not matter
     raw_export(spark, d).withColumnRenamed("Title", " Title ").write.options(
         header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
-    return shaped(source.read_reviews_csv(spark, path).select("ID", "Title", "Content", "reviewer_name",
-                                                              "notification_name"))
-
-
-@query("raw_file_meta")
-def raw_file_meta(spark, d):
-    return shaped(source.raw_file_meta(spark, d, "*.parquet"))
+    return shaped(source.read_reviews_csv(spark, path).select(*raw_export(spark, d).columns))
 
 
 def _stored_artifacts(spark, d):
@@ -55,25 +52,34 @@ def _stored_artifacts(spark, d):
     per_entity = reviews.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"),
                                                   F.min("entity_name").alias("entity_name"))
     marked = per_entity.withColumn("entity_name", F.concat("entity_name", F.lit(" &amp; Co")))
-    artifacts.write_artifacts({"by_csv": marked, "by_parquet": marked, "by_jsonl": marked,
+    artifacts.write_artifacts({"by_csv": marked, "by_parquet": marked, "by_jsonl": marked, "by_json": marked,
                                "summary": reviews.agg(F.count(F.lit(1)).alias("n_rows"))}, root,
-                              {"by_csv": "csv", "by_jsonl": "jsonl", "summary": "json"})
+                              {"by_csv": "csv", "by_jsonl": "jsonl", "by_json": "json", "summary": "json"})
     return artifacts.load_artifacts(spark, root)
 
 
 @query("load_artifacts", f"""WITH {v.F1}, e AS (SELECT entity_id, count(*) AS n, min(entity_name) || ' & Co' AS entity_name
   FROM f1 GROUP BY entity_id)
-SELECT k AS kind, entity_id, n, entity_name FROM e, (SELECT unnest(['by_csv', 'by_parquet', 'by_jsonl']) AS k)""")
+SELECT k AS kind, entity_id, n, entity_name FROM e, (SELECT unnest(['by_csv', 'by_parquet', 'by_jsonl', 'by_json']) AS k)""")
 def load_artifacts(spark, d):
     got = _stored_artifacts(spark, d)
     part = lambda k: got[k].select(F.lit(k).alias("kind"), F.col("entity_id").cast("bigint"),
                                    F.col("n").cast("bigint"), "entity_name")
-    return shaped(part("by_csv").unionByName(part("by_parquet")).unionByName(part("by_jsonl")))
+    return shaped(part("by_csv").unionByName(part("by_parquet")).unionByName(part("by_jsonl")).unionByName(part("by_json")))
 
 
-@query("write_artifacts", "SELECT count(*) AS n_rows FROM documents")
+@query("write_artifacts", """SELECT k AS kind, CASE k WHEN 'summary' THEN (SELECT count(*) FROM documents) ELSE CAST(sum(n) AS BIGINT) END AS total,
+  CASE k WHEN 'summary' THEN 1 ELSE count(*) END AS n_rows
+FROM (SELECT user_id, count(*) AS n FROM documents JOIN events ON event_id = doc_id GROUP BY user_id),
+  (SELECT unnest(['by_csv', 'by_parquet', 'by_jsonl', 'by_json', 'summary']) AS k) GROUP BY k""")
 def write_artifacts(spark, d):
-    return shaped(_stored_artifacts(spark, d)["summary"])
+    got = _stored_artifacts(spark, d)
+    parts = [got[k].select(F.lit(k).alias("kind"), F.col("n_rows" if k == "summary" else "n").cast("bigint").alias("n"))
+             for k in ("by_csv", "by_parquet", "by_jsonl", "by_json", "summary")]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return shaped(rows.groupBy("kind").agg(F.sum("n").alias("total"), F.count("*").alias("n_rows")))
 
 
 @query("sanitize_nulls", """SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'P') THEN NULL ELSE o_totalprice END AS x
@@ -189,15 +195,16 @@ def semi_join_entities(spark, d):
     return shaped(filters.reviews_of(reviews, many).select("review_id"))
 
 
-@query("attach_review_meta", f"""WITH {v.RS} SELECT review_id, dim, reviewer_name,
-  strftime(review_date, '%Y-%m-%d %H:%M:%S') AS review_date FROM rs WHERE dim = 'trust'""")
+@query("attach_review_meta", f"""WITH {v.RS} SELECT review_id, {", ".join(
+    f"round(max(score) FILTER (dim = '{n}'), 6) + 0.0 AS sim_{n}" for n in v.DIMS)}, reviewer_name,
+  strftime(review_date, '%Y-%m-%d %H:%M:%S') AS review_date FROM rs GROUP BY review_id, reviewer_name, review_date""")
 def attach_review_meta(spark, d):
     hashed = v.vector_reviews(spark, d).withColumn("review_hash", F.sha2(F.col("review_id").cast("string"), 256))
     scored = scoring.review_scores(hashed, v.queries_of(spark, d), keep=("review_hash", "review_id"))
     # every review stored twice: meta must not multiply rows
     twice = hashed.unionByName(hashed)
     return shaped(scoring.attach_review_meta(scored, twice).select(
-        "review_id", F.lit("trust").alias("dim"), "reviewer_name", "review_date"))
+        "review_id", *[f"sim_{n}" for n in v.DIMS], "reviewer_name", "review_date"))
 
 
 # identity and stores

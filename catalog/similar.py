@@ -1,5 +1,7 @@
 """Similarity and topics."""
 
+from pyspark.sql import functions as F
+
 from catalog import views as v
 from catalog.base import query, shaped
 from revgauge.operators import similarity, topics
@@ -34,9 +36,14 @@ def similar_entities(spark, d):
     return shaped(similarity.similar_entities(v.mean_vectors(spark, d), [3, 7, 11]))
 
 
-@query("kmeans_topics")
+@query("kmeans_topics", f"""WITH {v.F2} SELECT count(*) AS n_rows, count(DISTINCT review_id) AS n_reviews,
+  CAST(20 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_outside FROM f2""")
 def kmeans_topics(spark, d):
-    return shaped(topics.cluster_sizes(topics.kmeans_topics(v.vector_reviews(spark, d))))
+    """Every review lies in one of the 20 clusters; which one a review takes has no SQL form."""
+    placed = topics.kmeans_topics(v.vector_reviews(spark, d))
+    return shaped(placed.agg(F.count("cluster").alias("n_rows"), F.countDistinct("review_id").alias("n_reviews"),
+                             F.countDistinct("cluster").alias("n_clusters"),
+                             F.count_if(~F.col("cluster").between(0, 19)).alias("n_outside")))
 
 
 @query("cluster_sizes", f"WITH {v.F2} SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM f2 GROUP BY label")

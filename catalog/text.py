@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import views as v
-from catalog.base import query, shaped, table
+from catalog.base import ORACLE, query, shaped, table
 from revgauge import fixed_values as fv
 from revgauge.functions import text
 from revgauge.session import spread
@@ -39,9 +39,12 @@ _scalar("collapse_punct", text.collapse_punct,
         r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!{3,}', '!', 'g'), '\?{3,}', '?', 'g'), "
         r"'\.{3,}', '.', 'g'), ',{3,}', ',', 'g')")
 _scalar("lowercase", F.lower, "lower(text)")
-_scalar("html_unescape", text.html_unescape, None, "pages", "page_id", "html")
-_scalar("unicode_nfkc", text.unicode_nfkc, None)
-_scalar("clean_text", text.clean_text, None)
+# the references that the pages hold; a page may be cut off inside one
+_scalar("html_unescape", text.html_unescape,
+        "regexp_replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), "
+        "'&amp$', '&')", "pages", "page_id", "html")
+# ligatures put into the texts must come out as the letters that they stand for
+_scalar("unicode_nfkc", lambda c: text.unicode_nfkc(F.replace(F.col(c), F.lit("st"), F.lit("ﬆ"))), "nfc_normalize(text)")
 _scalar("strip_prompts", text.strip_prompts,
         "trim(regexp_replace(regexp_replace(text, '(?i)" + "|".join(fv.PROMPT_PATTERNS).replace("'", "''")
         + r"', ' ', 'g'), '\s+', ' ', 'g'))")
@@ -55,13 +58,31 @@ _scalar("remove_stopwords", lambda c: F.array_join(text.remove_stopwords(text.to
 
 
 # runs of the same character, by gaps and islands over single characters
-@query("collapse_stretch", r"""
-WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i
-  FROM documents),
+_STRETCH = r"""
+c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i
+  FROM src),
 r AS (SELECT doc_id, i, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c),
-g AS (SELECT doc_id, ch, min(i) AS i, count(*) AS n FROM r GROUP BY doc_id, ch, run)
-SELECT doc_id, string_agg(CASE WHEN n >= 4 AND ch <> chr(10) THEN ch || ch ELSE repeat(ch, CAST(n AS INT)) END, ''
-  ORDER BY i) AS out FROM g GROUP BY doc_id""")
+g AS (SELECT doc_id, ch, min(i) AS i, count(*) AS n FROM r GROUP BY doc_id, ch, run),
+st AS (SELECT doc_id, string_agg(CASE WHEN n >= 4 AND ch <> chr(10) THEN ch || ch ELSE repeat(ch, CAST(n AS INT)) END, ''
+  ORDER BY i) AS out FROM g GROUP BY doc_id)"""
+
+
+def _chain(column, *steps):
+    for pattern, by in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return column
+
+
+CLEAN = f"""src AS (SELECT doc_id, {_chain("trim(" + _chain(
+    "nfc_normalize(coalesce(text, ''))", (r"[\r\n\t]+", " "), (r"http\S+|www\.\S+|www\S+", " "), (r"\S+@\S+", " "), ("[•▪►◆■│]+", " "),
+    ("(?i)this reviewer received no compensation.*", " "), ("(?i)there are no material conflicts of interest.*", " "),
+    (r"\s+", " ")) + ")", ("!{3,}", "!"), (r"\?{3,}", "?"), (r"\.{3,}", "."), (",{3,}", ","))} AS text FROM documents),
+{_STRETCH}, cleaned AS (SELECT doc_id, lower(coalesce(out, '')) AS out FROM src LEFT JOIN st USING (doc_id))"""
+_scalar("clean_text", text.clean_text, None)
+ORACLE["clean_text"] = f"WITH {CLEAN} SELECT * FROM cleaned"
+
+
+@query("collapse_stretch", f"WITH src AS (SELECT doc_id, text FROM documents), {_STRETCH} SELECT * FROM st")
 def collapse_stretch(spark, d):
     return shaped(_docs(spark, d).select("doc_id", text.collapse_stretch("text").alias("out")))
 
@@ -218,8 +239,13 @@ def keyword_sentence_filter(spark, d):
     return shaped(topics.relationship_sentences(topics.explode_sentences(v.text_reviews(spark, d))))
 
 
-@query("encode_text")
+@query("encode_text", f"""WITH {v.F1} SELECT review_id, CAST({fv.VECTOR_SIZE} AS BIGINT) AS dim,
+  CASE WHEN len({TOK}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm2, len({TOK})::DOUBLE AS n_tokens FROM f1""")
 def encode_text(spark, d):
+    """Vectors of length 1 whose entries, before scaling, count every token of the text once."""
     rows = encode.encode_text(v.text_reviews(spark, d), "review_text_clean")
+    rows = encode.encode_text(rows, "review_text_clean", out="plain", normalize=False)
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, x: s + f(x))
     return shaped(rows.select("review_id", F.size("embedding").alias("dim"),
-                              F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x).alias("norm2")))
+                              F.round(total("embedding", lambda x: x.cast("double") * x), 5).alias("norm2"),
+                              total("plain", lambda x: x).alias("n_tokens")))

@@ -203,16 +203,22 @@ def dimension_rank(spark, d):
     return shaped(scoring.dimension_rank(scoring.macro_totals(v.scored_reviews(spark, d), v.DIMS), v.DIMS), 4)
 
 
-@query("composite_score", f"""WITH {v.ES} SELECT entity_id, method, round(avg(score), 6) + 0.0 AS strict,
-  round(avg(score), 6) + 0.0 AS present FROM es GROUP BY ALL""")
+@query("composite_score", f"""WITH {v.ES}, gap AS (SELECT entity_id, method, dim, CASE WHEN dim = 'clarity' AND entity_id % 4 = 0
+  OR entity_id % 40 = 0 THEN NULL ELSE score END AS score FROM es)
+SELECT entity_id, method, CASE WHEN count(score) = count(*) THEN round(avg(score), 6) + 0.0 END AS strict,
+  round(avg(score), 6) + 0.0 AS present FROM gap GROUP BY ALL""")
 def composite_score(spark, d):
     es = v.entity_scores(spark, d)
+    # a quarter of the entities lack one dimension, some lack all
+    lacks = lambda n: ((F.lit(n == "clarity") & (F.col("entity_id") % 4 == 0)) | (F.col("entity_id") % 40 == 0))
+    es = es.withColumns({c: F.when(~lacks(n), F.col(c)) for m in fv.METHODS for n in v.DIMS for c in [f"sim_{m}_{n}"]})
     pick = lambda kind: scoring.long_scores(es, composite=kind).where(F.col("dim") == "composite").select(
         "entity_id", "method", F.col("score").alias(kind))
     return shaped(pick("strict").join(pick("present"), ["entity_id", "method"]))
 
 
-@query("wide_to_long", f"""WITH {v.ES} SELECT entity_id, 'sim_' || method || '_trust' AS method,
-  round(score, 6) + 0.0 AS score FROM es WHERE dim = 'trust'""")
+@query("wide_to_long", f"""WITH {v.ES} SELECT entity_id, 'sim_' || method || '_' || dim AS method,
+  round(score, 6) + 0.0 AS score FROM es""")
 def wide_to_long(spark, d):
-    return shaped(intake.wide_to_long(v.entity_scores(spark, d), ["entity_id"], [f"sim_{m}_trust" for m in fv.METHODS]))
+    columns = [f"sim_{m}_{n}" for m in fv.METHODS for n in v.DIMS]
+    return shaped(intake.wide_to_long(v.entity_scores(spark, d), ["entity_id"], columns))

@@ -78,8 +78,8 @@ def describe(x, prefix: str) -> list[Column]:
     use ``operators.positions.exact_quantiles``.
     """
     x = _col(x)
-    quartiles = [F.percentile(x, F.lit(q)).alias(f"{prefix}_{name}") for q, name in
-                 ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+    cuts = F.percentile(x, F.lit([0.25, 0.5, 0.75]))   # one buffer for all three
+    quartiles = [F.get(cuts, F.lit(i)).alias(f"{prefix}_{name}") for i, name in enumerate(("p25", "p50", "p75"))]
     return [F.count(x).alias(f"{prefix}_count"), F.avg(x).alias(f"{prefix}_mean"),
             F.stddev_samp(x).alias(f"{prefix}_std"), F.min(x).cast("double").alias(f"{prefix}_min"), *quartiles,
             F.max(x).cast("double").alias(f"{prefix}_max")]

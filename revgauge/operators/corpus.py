@@ -26,13 +26,16 @@ def quality_summary(df: DataFrame, name: str = "entity_name", body: str = "revie
     empty = F.col(body).isNull()
     if blank_is_empty:
         empty = empty | (text.collapse_edges(body) == "")
-    return df.agg(
+    # each distinct count reads one column; two of them in one aggregate would copy every row, text and all
+    distinct = lambda c: df.select(c).distinct().agg(F.count(c)).scalar()
+    counted = df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_cols"),
-        F.countDistinct("entity_id").alias("n_entities"), F.countDistinct(name).alias("n_names"),
         F.min("review_date").alias("date_min"), F.max("review_date").alias("date_max"),
         F.avg(F.col("rating").isNull().cast("int")).alias("rating_missing_frac"),
         F.avg(empty.cast("int")).alias("text_empty_frac"),
     )
+    return counted.select("n_rows", "n_cols", distinct("entity_id").alias("n_entities"), distinct(name).alias("n_names"),
+                          *counted.columns[2:])
 
 
 def missing_report(df: DataFrame) -> DataFrame:
@@ -52,15 +55,18 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 
 def eda_summary(df: DataFrame) -> DataFrame:
-    """Reviews, entities, the distribution of reviews per entity and of tokens, shares of short reviews; one row."""
+    """Reviews, entities, the distribution of reviews per entity and of tokens, shares of short reviews, and the number
+    of reviews of each rating (lowest first, none given before all); one row."""
     per_entity = reviews_per_entity(df).agg(
         F.struct(*numbers.describe("n_reviews", "rpe")).alias("s")).scalar()
     short = lambda n: F.avg((F.coalesce(F.col("token_count") < n, F.lit(False))).cast("int"))
     totals = df.agg(F.count(F.lit(1)).alias("reviews"), *numbers.describe("token_count", "tokens"),
                     short(20).alias("pct_under_20_tokens"), short(50).alias("pct_under_50_tokens"))
-    wide = totals.withColumn("_rpe", per_entity)
+    ratings = df.groupBy("rating").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sort_array(F.collect_list(F.struct("rating", "n")))).scalar()
+    wide = totals.withColumns({"_rpe": per_entity, "rating_counts": ratings})
     return wide.select("reviews", F.col("_rpe.rpe_count").alias("entities"), "_rpe.*",
-                       *[c for c in totals.columns if c != "reviews"])
+                       *[c for c in totals.columns if c != "reviews"], "rating_counts")
 
 
 def describe_column(df: DataFrame, column: str) -> DataFrame:
@@ -74,11 +80,11 @@ def describe_column(df: DataFrame, column: str) -> DataFrame:
 
 def coverage(df: DataFrame) -> DataFrame:
     n = F.col("n_reviews")
+    cuts = F.percentile(n, F.lit([0.5, 0.9]))
     return reviews_per_entity(df).agg(
         F.count(F.lit(1)).alias("entities_total"),
         *[F.avg((n < k).cast("int")).alias(f"pct_entities_lt{k}") for k in (3, 5, 10)],
-        F.percentile(n, F.lit(0.5)).alias("median_reviews_per_entity"),
-        F.percentile(n, F.lit(0.9)).alias("p90_reviews_per_entity"),
+        F.get(cuts, F.lit(0)).alias("median_reviews_per_entity"), F.get(cuts, F.lit(1)).alias("p90_reviews_per_entity"),
     )
 
 
@@ -138,15 +144,15 @@ def rating_token_correlation(df: DataFrame) -> DataFrame:
 
 def eda_meta(df: DataFrame) -> DataFrame:
     """Ranges and whole-number quartiles for filter controls; one row."""
-    cut = lambda c, q: F.percentile(c, F.lit(q)).cast("bigint")
+    cut = lambda c, i: F.get(F.percentile(c, F.lit([0.25, 0.75])), F.lit(i)).cast("bigint")
     per_entity = reviews_per_entity(df).agg(F.struct(
         F.min("n_reviews").alias("reviews_per_entity_min"), F.max("n_reviews").alias("reviews_per_entity_max"),
-        cut("n_reviews", 0.25).alias("rpe_q1"), cut("n_reviews", 0.75).alias("rpe_q3")).alias("s")).scalar()
+        cut("n_reviews", 0).alias("rpe_q1"), cut("n_reviews", 1).alias("rpe_q3")).alias("s")).scalar()
     base = df.agg(
         F.min("review_date").alias("date_min"), F.max("review_date").alias("date_max"),
         F.count(F.lit(1)).alias("row_count"),
         F.min("token_count").cast("bigint").alias("token_min"), F.max("token_count").cast("bigint").alias("token_max"),
-        cut("token_count", 0.25).alias("token_q1"), cut("token_count", 0.75).alias("token_q3"),
+        cut("token_count", 0).alias("token_q1"), cut("token_count", 1).alias("token_q3"),
         F.min("rating").alias("rating_min"), F.max("rating").alias("rating_max"))
     return base.withColumn("_s", per_entity).select(*base.columns, "_s.*")
 

@@ -47,9 +47,10 @@ def eda_filter(df: DataFrame, *, scope: str | None = None, firm_id=None, entity_
                max_tokens: int | None = None, min_reviews: int | None = None,
                max_reviews: int | None = None) -> DataFrame:
     """All given conditions together. The reviews-per-entity bounds count the rows that passed the others."""
-    if entity_id:
+    given = lambda x: x is not None and x != ""
+    if given(entity_id):
         df = df.where(F.col("entity_id") == F.lit(entity_id))
-    elif scope == "firm" and firm_id and "firm_id" in df.columns:
+    elif scope == "firm" and given(firm_id) and "firm_id" in df.columns:
         df = df.where(F.col("firm_id") == F.lit(firm_id))
     if date_start:
         df = df.where(F.col("review_date") >= F.lit(date_start).try_cast("timestamp_ntz"))
@@ -99,9 +100,9 @@ def quartile_ranges(bounds: DataFrame) -> DataFrame:
 
 def whole_quartiles(df: DataFrame, column: str) -> DataFrame:
     """Minimum, quartiles cut to whole numbers, and maximum of a whole-number column."""
-    cut = lambda q: F.percentile(column, F.lit(q)).cast("bigint")
-    return df.agg(F.min(column).cast("bigint").alias("low"), cut(0.25).alias("q1"), cut(0.75).alias("q3"),
-                  F.max(column).cast("bigint").alias("high"))
+    cuts = F.percentile(column, F.lit([0.25, 0.75]))
+    return df.agg(F.min(column).cast("bigint").alias("low"), F.get(cuts, F.lit(0)).cast("bigint").alias("q1"),
+                  F.get(cuts, F.lit(1)).cast("bigint").alias("q3"), F.max(column).cast("bigint").alias("high"))
 
 
 def quartile_category_filter(df: DataFrame, column: str, categories: Iterable[str], base: DataFrame | None = None):
@@ -144,13 +145,14 @@ def review_lookup(df: DataFrame, review_id) -> DataFrame:
     cols = [F.col(c).cast(casts[c]).alias(a) if c in casts else F.col(c).alias(a)
             for c, a in wanted.items() if c in df.columns]
     found = df.where(F.col("review_id").cast("string") == F.lit(str(review_id)))
-    return found.select(F.col("review_id").cast("string").alias("review_id"), *cols).limit(1)
+    one = found.select(F.col("review_id").cast("string").alias("review_id"), *cols)
+    return one.orderBy(*one.columns).limit(1)   # of copies of an id the first in order of its columns
 
 
 def scored_review_lookup(scored: DataFrame, review_id, dims: Sequence[str]) -> DataFrame:
     keep = ["review_id", "entity_id", "entity_name", "entity_type", "review_text_raw", "reviewer_name", "review_date"]
     cols = [c for c in keep + [f"sim_{d}" for d in dims] if c in scored.columns]
-    return scored.where(F.col("review_id") == F.lit(review_id)).select(cols).limit(1)
+    return scored.where(F.col("review_id") == F.lit(review_id)).select(cols).orderBy(*cols).limit(1)
 
 
 def entity_reviews(scored: DataFrame, entity_id, dims: Sequence[str]) -> DataFrame:

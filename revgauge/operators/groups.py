@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revgauge import fixed_values as fv
 from revgauge.operators.dedup import keep_first
+from revgauge.operators.positions import value_positions
 
 
 def real_groups(reviews: DataFrame, column: str = "partner_group") -> DataFrame:
@@ -19,29 +17,32 @@ def real_groups(reviews: DataFrame, column: str = "partner_group") -> DataFrame:
                          F.col(column).alias("partner_group_name"))
 
 
-def group_size(code: str) -> int:
+def group_size(code) -> Column:
     """3, 4 or 5, from the code's digest."""
-    return 3 + int(hashlib.sha256(code.encode()).hexdigest()[:4], 16) % 3
+    return 3 + F.conv(F.substring(F.sha2(F.col(code) if isinstance(code, str) else code, 256), 1, 4), 16, 10).cast("bigint") % 3
 
 
-def hash_group_assignment(entities: DataFrame, groups: Sequence[tuple[str, str]],
-                          min_reviews: int = fv.MIN_GROUP_MEMBER_REVIEWS) -> DataFrame:
-    """Deal entities, ordered by the digest of their id, to the given (code, name) groups, 3 to 5 each.
+def hash_group_assignment(entities: DataFrame, groups: DataFrame, min_reviews: int = fv.MIN_GROUP_MEMBER_REVIEWS,
+                          order: str = "position") -> DataFrame:
+    """Deal entities, ordered by the digest of their id, to groups (code, name, ``order``), 3 to 5 each.
 
-    Only as many entities are ranked as the groups take, so each task forwards that many at most.
+    The k-th entity meets the group that holds slot k. Both ranks are counted in buckets of the sort order (see
+    ``positions``), so neither table is sorted in one task, and any number of groups can be dealt.
     """
-    spans, last = [], 0
-    for code, name in groups:
-        spans.append((last + 1, last + group_size(code), code, name))
-        last += group_size(code)
-    order = Window.orderBy(F.sha2(F.col("entity_id").cast("string"), 256))
-    drawn = (entities.where((F.col("entity_type") == "advisor") & (F.col("review_count") >= min_reviews))
-             .select("entity_id", F.row_number().over(order).alias("_n")).where(F.col("_n") <= last))
-    slots = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("code"), F.lit(n).alias("name"))
-             for a, b, c, n in spans]
-    mine = F.element_at(F.filter(F.array(*slots), lambda s: F.col("_n").between(s["a"], s["b"])), 1)
-    return drawn.withColumn("_g", mine).select("entity_id", F.col("_g.code").alias("partner_group_code"),
-                                               F.col("_g.name").alias("partner_group_name"))
+    sized = groups.select("code", "name", F.col(order).alias("_at"), group_size("code").alias("_size"))
+    spread_out = sized.select("code", "name", "_at", F.explode(F.sequence(F.lit(1).cast("bigint"), "_size")).alias("_k"))
+    # slots of one group share its place in the order: the k-th of them comes k - 1 after the first
+    before = value_positions(spread_out, [], "_at").select("_at", "n_before")
+    slots = spread_out.join(before, "_at").select((F.col("n_before") + F.col("_k")).alias("_n"), "code", "name")
+    fit = entities.where((F.col("entity_type") == "advisor") & (F.col("review_count") >= min_reviews)).select(
+        "entity_id", F.sha2(F.col("entity_id").cast("string"), 256).alias("_digest"))
+    fit = fit.withColumn("_key", F.conv(F.substring("_digest", 1, 15), 16, 10).cast("bigint"))
+    placed = fit.join(value_positions(fit, [], "_key").select("_key", "n_before"), "_key")
+    # equal leading digits are as good as never met; the full digest settles them
+    tie = Window.partitionBy("_key").orderBy("_digest", "entity_id")
+    drawn = placed.select("entity_id", (F.col("n_before") + F.row_number().over(tie)).alias("_n"))
+    return drawn.join(slots, "_n").select("entity_id", F.col("code").alias("partner_group_code"),
+                                          F.col("name").alias("partner_group_name"))
 
 
 def stale_members(groups: DataFrame, entities: DataFrame) -> DataFrame:

@@ -10,14 +10,10 @@ from pyspark.sql import functions as F
 
 from revgauge import fixed_values as fv
 from revgauge.functions import vectors
-from revgauge.session import small_rows
-
-MAX_QUERIES = 256
-
 
 class QueryVectors:
-    """Named query vectors, read once. They are settings (six in normal use); a table of more than ``MAX_QUERIES``
-    rows is refused."""
+    """Named query vectors, read once: settings, six in normal use. They become columns of the result, and one matrix
+    product per batch of rows takes them all."""
 
     def __init__(self, names: Sequence[str], matrix: np.ndarray):
         self.names, self.matrix = list(names), np.asarray(matrix, dtype="float64")
@@ -25,7 +21,7 @@ class QueryVectors:
     @classmethod
     def from_table(cls, table: DataFrame, name: str = "dim", vector: str = "query_vec",
                    order: Sequence[str] | None = None) -> QueryVectors:
-        found = {r[0]: r[1] for r in small_rows(table.select(name, vector), MAX_QUERIES, "query vectors")}
+        found = {r[0]: r[1] for r in table.select(name, vector).collect()}
         names = list(order) if order else sorted(found)
         return cls(names, np.array([found[n] for n in names]))
 

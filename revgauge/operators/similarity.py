@@ -30,48 +30,45 @@ def nearest(df: DataFrame, query_ids: Sequence, k: int, id_column: str = "review
             other_entity: bool = False) -> DataFrame:
     """The ``k`` nearest rows to each query row, itself excluded; equal cosines are ordered by id.
 
-    ``other_entity`` also excludes rows of the query row's entity. Long id lists are answered in blocks.
+    ``other_entity`` also excludes rows of the query row's entity. All ids are answered in one scan; products are taken
+    in blocks of ids. An id without a vector is an error.
     """
     ids = list(dict.fromkeys(query_ids))
-    parts = [_nearest_block(df, ids[i:i + BLOCK], k, id_column, vector, other_entity)
-             for i in range(0, len(ids), BLOCK)]
-    if not parts:
+    if not ids:
         raise ValueError("no query ids given")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _nearest_block(df, ids, k, id_column, vector, other_entity) -> DataFrame:
     id_type = df.schema[id_column].dataType
     group = "entity_id" if other_entity else id_column
     slim = df.where(F.col(vector).isNotNull()).select(
         F.col(id_column).alias("item"), F.col(group).alias("owner"), F.col(vector).alias("v"))
-    found = small_rows(slim.where(F.col("item").isin(ids)), len(ids), "query rows")
-    if not found:
-        raise ValueError("none of the query ids exists")
-    q_ids = [r.item for r in found]
-    q_owner = [r.owner for r in found]
-    q_mat = _unit_rows(np.array([r.v for r in found], dtype="float64"))
+    found = {}
+    for i in range(0, len(ids), BLOCK):
+        found.update({r.item: r for r in small_rows(slim.where(F.col("item").isin(ids[i:i + BLOCK])), BLOCK, "query rows")})
+    if missing := [i for i in ids if i not in found]:
+        raise ValueError(f"no vector for {len(missing)} query ids: {missing[:10]}")
+    q_owner = [found[i].owner for i in ids]
+    q_mat = _unit_rows(np.array([found[i].v for i in ids], dtype="float64"))
     width = q_mat.shape[1]
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[pa.Table | None] = [None] * len(q_ids)
+        best: list[pa.Table | None] = [None] * len(ids)
         for b in batches:
-            sims = _unit_rows(matrix_of(b.column("v"), width)) @ q_mat.T
+            units = _unit_rows(matrix_of(b.column("v"), width))
             items, owners = b.column("item"), b.column("owner")
             for j, owner in enumerate(q_owner):
-                allowed = pc.and_(pc.not_equal(items, pa.scalar(q_ids[j], items.type)),
-                                  pc.not_equal(owners, pa.scalar(owner, owners.type)))
-                t = pa.table({"item": items, "sim": pa.array(sims[:, j])}).filter(allowed)
+                if j % BLOCK == 0:
+                    sims = units @ q_mat[j:j + BLOCK].T
+                # a row without an owner belongs to nobody: it may be near anything but itself
+                allowed = pc.not_equal(items, pa.scalar(ids[j], items.type))
+                if owner is not None:
+                    allowed = pc.and_(allowed, pc.fill_null(pc.not_equal(owners, pa.scalar(owner, owners.type)), True))
+                t = pa.table({"item": items, "sim": pa.array(sims[:, j % BLOCK])}).filter(allowed)
                 if best[j] is not None:
                     t = pa.concat_tables([best[j], t])
                 best[j] = t.take(pc.select_k_unstable(t, k, [("sim", "descending"), ("item", "ascending")]))
         for j, t in enumerate(best):
             if t is not None and t.num_rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([q_ids[j]] * t.num_rows, t.column("item").type), t.column("item").combine_chunks(),
+                    [pa.array([ids[j]] * t.num_rows, t.column("item").type), t.column("item").combine_chunks(),
                      t.column("sim").combine_chunks()], names=["query_id", "item_id", "similarity"])
 
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("item_id", id_type),

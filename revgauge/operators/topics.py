@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revgauge.functions import text, vectors
+from revgauge.session import small_rows
+
+MAX_CLUSTERS = 10_000
 
 
 def kmeans_topics(df: DataFrame, k: int = 20, vector: str = "embedding", seed: int = 42,
@@ -32,15 +36,22 @@ def cluster_representatives(df: DataFrame, cluster: str = "cluster", vector: str
                             id_column: str = "review_id", top_n: int = 5) -> DataFrame:
     """Members nearest to their cluster's mean by cosine.
 
-    There are as many centroids as clusters (a setting), so their side of the join stays small; members are not
-    shuffled before the ranking, and each task forwards its best only.
+    Centroids are as many as clusters, a setting; their number is checked and they go to every task. One matrix
+    product per batch takes all of them, a row keeps its own cluster's column, and each task forwards its best only:
+    no vector is shuffled. Rows without a cluster, and zero vectors, stand for nothing.
     """
-    centers = centroids(df, cluster, vector)
-    sim = F.try_divide(vectors.dot(vector, "centroid"), vectors.l2_norm(vector) * vectors.l2_norm("centroid"))
+    rows = small_rows(centroids(df.where(F.col(vector).isNotNull() & F.col(cluster).isNotNull()), cluster, vector), MAX_CLUSTERS, "clusters")
     best = Window.partitionBy(cluster).orderBy(F.desc("similarity"), id_column)
-    return (df.select(cluster, id_column, vector).join(centers, cluster)
-            .select(cluster, id_column, sim.alias("similarity"))
-            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n))
+    slim = df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).select(cluster, id_column, vector)
+    if not rows:
+        return slim.select(cluster, id_column, F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).where("false")
+    m = np.array([r.centroid for r in rows], dtype="float64")
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    units = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    place = F.create_map(*[F.lit(x) for i, r in enumerate(rows) for x in (r[cluster], i)])
+    own = F.get(vectors.dots_with(vector, units), place[F.col(cluster)])
+    scored = slim.select(cluster, id_column, F.try_divide(own, vectors.l2_norm(vector)).alias("similarity"))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
 
 
 def explode_sentences(df: DataFrame, column: str = "review_text_clean", id_column: str = "review_id",

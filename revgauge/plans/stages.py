@@ -34,22 +34,26 @@ def clean_stage(standard: DataFrame) -> DataFrame:
 
 
 def prepared_stage(clean: DataFrame) -> DataFrame:
-    """Rows to encode: recent, distinct, decoded, prompts stripped, long enough, with tokens, n-grams and hash."""
+    """Rows to encode: recent, distinct, decoded, prompts stripped, long enough, with their number of words and hash."""
     rows = dedup.drop_exact_duplicates(filters.date_floor(clean))
     body = text.strip_prompts(text.collapse_whitespace(text.html_unescape("review_text_clean")))
     rows = filters.embeddable_rows(rows.withColumn("review_text_processed", body), "review_text_processed")
     rows = rows.withColumn("total_tokens_raw", text.word_count("review_text_processed"))
+    return dedup.with_review_hash(rows)
+
+
+def with_ngrams(rows: DataFrame) -> DataFrame:
+    """Tokens without stopwords, their pairs and triples: wide columns, so built after rows have been dropped."""
     rows = rows.withColumn("tokens_processed", text.remove_stopwords(text.tokenize_ws("review_text_processed")))
-    rows = rows.withColumns({"n_tokens_processed": F.size("tokens_processed"),
+    return rows.withColumns({"n_tokens_processed": F.size("tokens_processed"),
                              "bigrams": text.ngrams("tokens_processed", 2),
                              "trigrams": text.ngrams("tokens_processed", 3)})
-    return dedup.with_review_hash(rows)
 
 
 def embed_stage(clean: DataFrame, store: DataFrame | None = None, full: bool = False,
                 make_encoder: Callable | None = None, size: int = fv.VECTOR_SIZE) -> DataFrame:
     """New rows only: names removed and text encoded to unit vectors. Append the result to the store."""
-    fresh = dedup.incremental_delta(prepared_stage(clean), store, full)
+    fresh = with_ngrams(dedup.incremental_delta(prepared_stage(clean), store, full))
     fresh = fresh.withColumn("review_text_processed", text.remove_entity_name("review_text_processed", "entity_name"))
     return encode.encode_text(fresh, "review_text_processed", make_encoder, size=size)
 
@@ -86,10 +90,11 @@ def score_stage(embedded: DataFrame, weighted: DataFrame, queries: scoring.Query
 
 
 def group_stage(clean: DataFrame, entities: DataFrame, groups: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Real groups when the export names them, otherwise entities dealt to the given groups."""
+    """Real groups when the export names them, otherwise entities dealt to the given (code, name) groups in turn."""
     if "partner_group" in clean.columns:
         return real_groups(clean)
-    return hash_group_assignment(entities, groups)
+    table = clean.sparkSession.createDataFrame([(c, n, i) for i, (c, n) in enumerate(groups)], "code string, name string, position long")
+    return hash_group_assignment(entities, table)
 
 
 def run_all(spark: SparkSession, csv_path: str, out: str, excluded=(), store: DataFrame | None = None,

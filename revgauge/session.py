@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []   # the folder of a local session without a setting
+
 
 def local_session(app: str = "revgauge", cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks; a cluster brings its own."""
@@ -30,14 +35,17 @@ def local_session(app: str = "revgauge", cores: int | str = 8, partitions: int =
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder path for a table that cuts lineage or feeds a later read.
 
-    The folder lies in the shared directory named by ``spark.checkpoint.dir``. A machine-local folder is used
-    only where that is unset and the session runs in one process.
+    The folder lies in the shared directory named by ``spark.checkpoint.dir``. Only a session that is one process and
+    names none gets a folder of its own, one for the process, which is removed when it ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="revgauge-")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="revgauge-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        root = _OWN[0]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -49,6 +57,11 @@ def via_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_absent(error: AnalysisException) -> bool:
+    """Whether a read failed because there is nothing at the path; any other failure must be raised."""
+    return (error.getCondition() or "").split(".")[0] in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def spread(source: DataFrame, key: str) -> DataFrame:
     """Spread a source table that comes in fewer pieces than there are cores (one small or unsplittable file) before
     work that is heavy per row. Large tables have more pieces than cores and pass unchanged, without a shuffle."""

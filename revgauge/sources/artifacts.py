@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revgauge.functions import text
+from revgauge.session import is_absent
 
 MANIFEST = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("created_at", T.StringType()),
@@ -21,10 +22,12 @@ MANIFEST = T.StructType([
 
 
 def read_manifest(spark: SparkSession, root: str, name: str = "metadata.json") -> DataFrame:
-    """Name, type and path of each artifact; no rows when the manifest is absent or unreadable."""
+    """Name, type and path of each artifact; no rows when the manifest is absent or holds no such fields."""
     try:
         doc = spark.read.schema(MANIFEST).option("multiLine", "true").json(f"{root}/{name}")
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_absent(e):
+            raise
         doc = spark.createDataFrame([], MANIFEST)
     return doc.select("run_id", "created_at", "schema_version", F.inline("artifact_manifest"))
 
@@ -55,7 +58,9 @@ def read_table(spark: SparkSession, root: str, kind: str, path: str, schema: T.S
             df = reader.parquet(full)
         else:
             return _empty(spark, schema)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_absent(e):
+            raise
         return _empty(spark, schema)
     return unescape_strings(df)
 
@@ -69,7 +74,11 @@ def load_artifacts(spark: SparkSession, root: str, schemas: Mapping[str, T.Struc
 
 def write_artifacts(tables: Mapping[str, DataFrame], root: str, kinds: Mapping[str, str] | None = None,
                     run_id: str = "run", created_at: str = "") -> None:
-    """Write each table in its kind (Parquet unless stated) and then the manifest."""
+    """Write each table in its kind (Parquet unless stated) and then the manifest.
+
+    A ``json`` table of one row is one document; one of several rows is stored with a row per line, and the manifest
+    lists it as ``jsonl``.
+    """
     kinds, items = kinds or {}, []
     for name, df in tables.items():
         kind = kinds.get(name, "parquet")
@@ -78,10 +87,10 @@ def write_artifacts(tables: Mapping[str, DataFrame], root: str, kinds: Mapping[s
         if kind == "csv":
             writer.options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
                            ignoreTrailingWhiteSpace="false").csv(path)
-        elif kind == "json":
-            # a summary document: one row, one file
-            df.limit(1).coalesce(1).write.mode("overwrite").json(path)
-        elif kind == "jsonl":
+        elif kind == "json" and len(df.take(2)) < 2:
+            df.coalesce(1).write.mode("overwrite").json(path)
+        elif kind in ("json", "jsonl"):
+            kind = "jsonl"
             writer.json(path)
         elif kind == "parquet":
             writer.parquet(path)

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from revgauge.operators import dedup
+from revgauge.session import is_absent
 
 
 def _stored(spark, path: str, schema, before: int) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < before)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_absent(e):
+            raise
         return None
 
 

@@ -1,5 +1,6 @@
 """Roll-ups, scores, rankings and comparisons against NumPy and pandas."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revgauge.functions import numbers, vectors
-from revgauge.operators import benchmark, compare, filters, ranking, rollup, scoring, similarity, topics
+from revgauge.operators import benchmark, compare, filters, groups, ranking, rollup, scoring, similarity, topics
 
 DIMS = ["a", "b"]
 SIZE = 5
@@ -113,10 +114,45 @@ def test_missing_vectors_have_no_score(spark, queries):
     assert got[1] == pytest.approx(queries.matrix[0].sum())
 
 
-def test_query_table_is_bounded(spark):
-    many = spark.range(300).select(F.col("id").cast("string").alias("dim"), F.array(F.lit(1.0)).alias("query_vec"))
-    with pytest.raises(ValueError):
-        scoring.QueryVectors.from_table(many)
+def test_many_queries(spark):
+    """Any number of query vectors; there was a cap of 256 once."""
+    many = spark.range(300).select(F.format_string("q%03d", "id").alias("dim"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("query_vec"))
+    found = scoring.QueryVectors.from_table(many)
+    rows = spark.createDataFrame([(1, [2.0, 0.5])], "review_id long, embedding array<double>")
+    got = scoring.review_scores(rows, found).first()
+    assert [got[f"sim_q{i:03d}"] for i in range(300)] == pytest.approx([2.0 * i + 0.5 for i in range(300)])
+
+
+def test_many_groups(spark):
+    """More groups than a thousand, dealt in order, 3 to 5 members each, no member twice."""
+    entities = spark.range(6000).select(F.col("id").alias("entity_id"), F.lit("advisor").alias("entity_type"), F.lit(9).alias("review_count"))
+    codes = spark.range(1200).select(F.format_string("g%04d", "id").alias("code"), F.lit("n").alias("name"), F.col("id").alias("position"))
+    got = groups.hash_group_assignment(entities, codes).toPandas()
+    order = sorted(range(6000), key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+    want, at = {}, 0
+    for g in range(1200):
+        size = 3 + int(hashlib.sha256(f"g{g:04d}".encode()).hexdigest()[:4], 16) % 3
+        want.update({e: f"g{g:04d}" for e in order[at:at + size]})
+        at += size
+    assert dict(zip(got.entity_id, got.partner_group_code, strict=True)) == want
+
+
+def test_nearest_without_owner_or_vector(spark):
+    rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, None, [0.9, 0.1]), (3, None, [0.8, 0.3]), (4, "a", [1.0, 0.1]), (5, "b", None)],
+                                 "review_id long, entity_id string, embedding array<double>")
+    got = similarity.similar_reviews_other_entity(rows, [1, 2], 5).collect()
+    assert {(r.query_id, r.item_id) for r in got} == {(1, 2), (1, 3), (2, 1), (2, 3), (2, 4)}
+    for unknown in (5, 99):
+        with pytest.raises(ValueError, match=str(unknown)):
+            similarity.nearest(rows, [1, unknown], 2)
+
+
+def test_representatives_skip_what_has_no_vector(spark):
+    rows = spark.createDataFrame([(1, 7, [1.0, 0.0]), (2, 7, [1.0, 1.0]), (3, 7, None), (4, None, [1.0, 0.0]), (5, 8, [0.0, 2.0])],
+                                 "review_id long, cluster int, embedding array<double>")
+    got = topics.cluster_representatives(rows, top_n=1)
+    assert {(r.cluster, r.review_id) for r in got.collect()} <= {(7, 1), (7, 2), (8, 5)}
+    assert topics.cluster_representatives(rows.where("review_id < 0")).collect() == []
 
 
 def test_entity_scores(entities, twin, queries):

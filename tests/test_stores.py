@@ -291,3 +291,18 @@ def test_filters(spark):
     assert sorted(r.review_id for r in filters.exclude_entities(df, ["a"]).collect()) == [2, 3, 4]
     counts = corpus.reviews_per_entity(df)
     assert counts.count() == 3
+
+
+def test_json_keeps_every_row(spark, tmp_path):
+    rows = spark.range(5).select("id", F.lit("a & b").alias("t"))
+    artifacts.write_artifacts({"many": rows, "one": rows.limit(1), "none": rows.limit(0)}, str(tmp_path), dict.fromkeys(("many", "one", "none"), "json"))
+    got = artifacts.load_artifacts(spark, str(tmp_path), {"none": rows.schema})
+    assert {k: t.count() for k, t in got.items()} == {"many": 5, "one": 1, "none": 0}
+
+
+def test_unreadable_is_not_absent(spark, tmp_path):
+    """Only a missing path means an empty table; a broken one must not."""
+    (tmp_path / "broken.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        artifacts.read_table(spark, str(tmp_path), "parquet", "broken.parquet").collect()
+    assert artifacts.read_table(spark, str(tmp_path), "parquet", "gone.parquet").collect() == []

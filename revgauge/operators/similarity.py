@@ -64,7 +64,9 @@ def nearest(df: DataFrame, query_ids: Sequence, k: int, id_column: str = "review
                 t = pa.table({"item": items, "sim": pa.array(sims[:, j % BLOCK])}).filter(allowed)
                 if best[j] is not None:
                     t = pa.concat_tables([best[j], t])
-                best[j] = t.take(pc.select_k_unstable(t, k, [("sim", "descending"), ("item", "ascending")]))
+                if t.num_rows > k:
+                    t = t.take(pc.select_k_unstable(t, k, [("sim", "descending"), ("item", "ascending")]))
+                best[j] = t
         for j, t in enumerate(best):
             if t is not None and t.num_rows:
                 yield pa.RecordBatch.from_arrays(

@@ -150,7 +150,8 @@ def robust_distances(df: DataFrame, names: tuple[str, ...], by: list[str], floor
     keep = ["_pool", "start", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)], "logdet"]
     for _ in range(steps):
         placed = _distance(base.join(now.select(keep), "_pool"), names)
-        cut = placed.groupBy("_pool", "start").agg(F.percentile_approx("d2", share, 1000).alias("cut"))
+        # a stored table of known size: rows need not be dealt out by their group to meet it
+        cut = stored(placed.groupBy("_pool", "start").agg(F.percentile_approx("d2", share, 1000).alias("cut")), "cut")
         inner = placed.join(cut, ["_pool", "start"]).where("d2 <= cut")
         now = stored(_factor(inner.groupBy("_pool", "start").agg(*_moments(names)), floor, factor), "estimate")
     best = now.groupBy("_pool").agg(F.min(F.struct("logdet", "start")).alias("b")).select(

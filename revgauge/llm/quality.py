@@ -17,6 +17,8 @@ NAMES = ("words", "word_length", "word_spread", "distinct", "distinct_pairs", "t
          "stops", "line_length", "repeated_lines", "entropy")
 #: What is added to a share before its logarithm is taken.
 LEAST = 1e-3
+#: Words of a text whose statistics count half.
+SHORT = 25
 
 
 def statistics(text: bytes) -> list[float]:
@@ -56,12 +58,13 @@ def features(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, x array<double>")
 
 
-def _moments(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatch]:
+def _moments(batches: Iterator[pa.RecordBatch], d: int, scale: Scale | None) -> Iterator[pa.RecordBatch]:
     """(label, at, value): of each label the number of rows, sums and products of a task."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         label = batch.column(0).to_numpy(zero_copy_only=False)
-        x = np.concatenate((np.ones((len(label), 1)), batch.column(1).flatten().to_numpy().reshape(-1, d)), axis=1)
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        x = np.concatenate((np.ones((len(label), 1)), x if scale is None else scale.apply(x)), axis=1)
         for k in np.unique(label).tolist():
             own = x[label == k]
             sums[k] = sums.get(k, 0.0) + own.T @ own
@@ -71,24 +74,39 @@ def _moments(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBat
                               ["label", "at", "value"])
 
 
+class Scale:
+    """Statistics as deviations from the mean of the labelled rows. The deviations of a text of n words count
+    n / (n + ``SHORT``): a few words say little, and a short text is not a bad one."""
+
+    def __init__(self, sums: dict[int, np.ndarray]) -> None:
+        every = sum(sums.values())
+        n = every[0, 0]
+        self.mean = every[0, 1:] / n
+        self.scale = np.sqrt(np.maximum(np.diag(every)[1:] / n - self.mean**2, 1e-6))
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        n = np.expm1(x[:, :1])
+        z = (x - self.mean) / self.scale * (n / (n + SHORT))
+        z[:, 0] = (np.maximum(x[:, 0], np.log1p(2 * SHORT)) - self.mean[0]) / self.scale[0]
+        return z
+
+
 class Discriminant:
     """Two normal densities with shrunken covariances, kept as inverse Cholesky factors."""
 
-    def __init__(self, sums: dict[int, np.ndarray], shrink: float, pool: float) -> None:
+    def __init__(self, sums: dict[int, np.ndarray], scale: Scale | None, shrink: float, pool: float) -> None:
         self.ready = all(k in sums and sums[k][0, 0] >= 2 for k in (0, 1))
         if not self.ready:
             self.only = 1.0 if 1 in sums and 0 not in sums else 0.0 if 0 in sums and 1 not in sums else 0.5
             return
+        self.scale = scale
         every = sums[0] + sums[1]
-        self.mean = every[0, 1:] / every[0, 0]
-        self.scale = np.sqrt(np.maximum(np.diag(every)[1:] / every[0, 0] - self.mean**2, 1e-6))
-        d = len(self.mean)
+        d = len(every) - 1
         inside, self.centre, self.factor, self.offset = [], [], [], []
         for k in (0, 1):
             n, m = sums[k][0, 0], sums[k][0, 1:] / sums[k][0, 0]
-            cov = sums[k][1:, 1:] / n - np.outer(m, m)
-            inside.append(cov / np.outer(self.scale, self.scale))
-            self.centre.append((m - self.mean) / self.scale)
+            inside.append(sums[k][1:, 1:] / n - np.outer(m, m))
+            self.centre.append(m)
         weight = np.array([sums[k][0, 0] for k in (0, 1)]) / every[0, 0]
         shared = weight[0] * inside[0] + weight[1] * inside[1]
         for k in (0, 1):
@@ -101,7 +119,7 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.ready:
             return np.full(len(x), self.only)
-        z = (x - self.mean) / self.scale
+        z = self.scale.apply(x)
         density = [self.offset[k] - 0.5 * (((z - self.centre[k]) @ self.factor[k].T) ** 2).sum(axis=1) for k in (0, 1)]
         return 1.0 / (1.0 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
@@ -114,11 +132,19 @@ def fit(rows: DataFrame, shrink: float = 0.05, pool: float = 0.05) -> Discrimina
     """
     d = len(NAMES)
     used = rows.where(F.col("label").isin(0, 1)).select(F.col("label").cast("int").alias("label"), "x")
-    parts = used.mapInArrow(partial(_moments, d=d), "label int, at int, value double")
-    sums: dict[int, np.ndarray] = {}
-    for r in parts.groupBy("label", "at").agg(F.sum("value").alias("value")).collect():   # 2 * (d + 1) ** 2 rows
-        sums.setdefault(r.label, np.zeros((d + 1) ** 2))[r["at"]] = r.value
-    return Discriminant({k: s.reshape(d + 1, d + 1) for k, s in sums.items()}, shrink, pool)
+
+    def gather(scale: Scale | None) -> dict[int, np.ndarray]:
+        parts = used.mapInArrow(partial(_moments, d=d, scale=scale), "label int, at int, value double")
+        sums: dict[int, np.ndarray] = {}
+        for r in parts.groupBy("label", "at").agg(F.sum("value").alias("value")).collect():   # 2 * (d + 1) ** 2 rows
+            sums.setdefault(r.label, np.zeros((d + 1) ** 2))[r["at"]] = r.value
+        return {k: s.reshape(d + 1, d + 1) for k, s in sums.items()}
+
+    sums = gather(None)
+    if len(sums) < 2:
+        return Discriminant(sums, None, shrink, pool)
+    scale = Scale(sums)
+    return Discriminant(gather(scale), scale, shrink, pool)
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.7, text: str = "text", doc_id: str = "doc_id",

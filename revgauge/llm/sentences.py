@@ -16,6 +16,9 @@ from revgauge.llm.suffix import again, rerank
 
 #: A sentence ends after stops that stand before a blank, or at a line's end.
 END = re.compile(rb"[.!?]+(?=[\s\"')\]]|$)[\"')\]]*\s*|\n\s*|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+\s*")
+#: A sentence of more words than ``LONG`` counts as several: it is cut at the stops inside it.
+PAUSE = re.compile(rb"[,;:]+\s+")
+LONG = 12
 
 
 def split(text: bytes) -> list[int]:
@@ -23,7 +26,12 @@ def split(text: bytes) -> list[int]:
     ends = [m.end() for m in END.finditer(text)]
     if text and (not ends or ends[-1] < len(text)):
         ends.append(len(text))
-    return ends
+    out: list[int] = []
+    for a, b in zip([0, *ends[:-1]], ends):
+        if b - a > 2 * LONG and len(text[a:b].split()) > LONG:
+            out += [m.end() for m in PAUSE.finditer(text, a, b) if m.end() < b]
+        out.append(b)
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[pa.RecordBatch]:

@@ -190,11 +190,71 @@ def eda_filter(spark, d):
     return shaped(filters.eda_filter(v.text_reviews(spark, d), **_ARGS).select("review_id", "entity_id", "token_count"))
 
 
-@query("eda_payload", f"WITH {v.F1}, {_FILTER} {summary_sql('ff')}")
+def _epoch(c):
+    return F.unix_seconds(F.col(c).cast("timestamp")).cast("double")
+
+
+def _cells(block, df, key=None):
+    """(block, key, value) rows: the columns of a one-row block, or one column of a block by its key."""
+    num = lambda f: (_epoch(f.name) if "timestamp" in f.dataType.typeName() else F.col(f.name).cast("double"))
+    if key is None:
+        cells = [F.struct(F.lit(f.name).alias("key"), num(f).alias("value")) for f in df.schema.fields]
+        return df.select(F.lit(block).alias("block"), F.inline(F.array(*cells)))
+    name, value = key
+    return df.select(F.lit(block).alias("block"), F.coalesce(F.col(name).cast("string"), F.lit("none")).alias("key"),
+                     F.col(value).cast("double").alias("value"))
+
+
+def payload_rows(blocks):
+    """The ten blocks of a report as one table."""
+    ratings = blocks["summary"].select(F.inline("rating_counts"))
+    rows = _cells("summary", blocks["summary"].drop("rating_counts")).unionByName(_cells("summary_ratings", ratings, ("rating", "n")))
+    keyed = {"rating_distribution": ("rating", "n"), "reviews_over_time": ("period", "n"), "reviews_per_entity": ("entity_id", "n_reviews"),
+             "token_counts": ("review_id", "token_count"), "rating_vs_tokens": ("review_id", "token_count"), "lexical": ("ngram", "n")}
+    for name in ("quality", "coverage", "meta", *keyed):
+        rows = rows.unionByName(_cells(name, blocks[name], keyed.get(name)))
+    return rows
+
+
+def _one_row_sql(block, sql):
+    return f"""SELECT '{block}' AS block, key, CAST(value AS DOUBLE) AS value FROM (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({sql}))
+  UNPIVOT INCLUDE NULLS (value FOR key IN (COLUMNS(*)))"""
+
+
+def payload_sql(f1, filtered, scope="f1"):
+    ff = "ff"
+    per = f"(SELECT count(*) AS n FROM {ff} GROUP BY entity_id)"
+    scope_per = f"(SELECT count(*) AS n FROM {scope} GROUP BY entity_id)"
+    summary = summary_sql(ff).replace(", g.rating_counts FROM", " FROM")
+    quality = f"""SELECT count(*) AS n_rows, 10 AS n_cols, count(DISTINCT entity_id) AS n_entities, count(DISTINCT reviewer_name) AS n_names,
+      floor(epoch(min(review_date))) AS date_min, floor(epoch(max(review_date))) AS date_max, avg(CAST(rating IS NULL AS INT)) AS rating_missing_frac,
+      avg(CAST(review_text_clean IS NULL AS INT)) AS text_empty_frac FROM {ff}"""
+    coverage = f"""SELECT count(*) AS entities_total, {", ".join(f"avg(CAST(n < {k} AS INT)) AS pct_entities_lt{k}" for k in (3, 5, 10))},
+      median(n) AS median_reviews_per_entity, quantile_cont(n, 0.9) AS p90_reviews_per_entity FROM {per}"""
+    meta = f"""SELECT floor(epoch(min(review_date))) AS date_min, floor(epoch(max(review_date))) AS date_max, count(*) AS row_count,
+      min(token_count) AS token_min, max(token_count) AS token_max, floor(quantile_cont(token_count, 0.25)) AS token_q1,
+      floor(quantile_cont(token_count, 0.75)) AS token_q3, min(rating) AS rating_min, max(rating) AS rating_max,
+      (SELECT min(n) FROM {scope_per}) AS reviews_per_entity_min, (SELECT max(n) FROM {scope_per}) AS reviews_per_entity_max,
+      (SELECT floor(quantile_cont(n, 0.25)) FROM {scope_per}) AS rpe_q1, (SELECT floor(quantile_cont(n, 0.75)) FROM {scope_per}) AS rpe_q3
+      FROM {scope}"""
+    rating = f"SELECT coalesce(CAST(rating AS VARCHAR), 'none') AS key, CAST(count(*) AS DOUBLE) AS value FROM {ff} GROUP BY rating"
+    terms = f"SELECT unnest(regexp_extract_all(lower(review_text_clean), '[a-z0-9'']{{2,}}')) AS key FROM {ff}"
+    return f"""WITH {f1}, {filtered}, p AS ({_one_row_sql("summary", summary)}
+UNION ALL {_one_row_sql("quality", quality)} UNION ALL {_one_row_sql("coverage", coverage)} UNION ALL {_one_row_sql("meta", meta)}
+UNION ALL SELECT 'summary_ratings', * FROM ({rating}) UNION ALL SELECT 'rating_distribution', * FROM ({rating})
+UNION ALL SELECT 'reviews_over_time', strftime(date_trunc('month', review_date), '%Y-%m'), count(*) FROM {ff} GROUP BY ALL
+UNION ALL SELECT 'reviews_per_entity', CAST(entity_id AS VARCHAR), count(*) FROM {ff} GROUP BY ALL
+UNION ALL SELECT 'token_counts', CAST(review_id AS VARCHAR), token_count FROM {ff}
+UNION ALL SELECT 'rating_vs_tokens', CAST(review_id AS VARCHAR), token_count FROM {ff} WHERE rating IS NOT NULL
+UNION ALL SELECT 'lexical', key, n FROM (SELECT key, count(*) AS n FROM ({terms}) GROUP BY key ORDER BY n DESC, key LIMIT 20))
+SELECT block, key, round(value, 4) + 0.0 AS value FROM p"""
+
+
+@query("eda_payload", payload_sql(v.F1, _FILTER))
 def eda_payload(spark, d):
-    """The summary block of a filtered report; the other blocks are queries of their own."""
+    """All ten blocks of a filtered report, from one stored table of the filtered rows; ``meta`` describes the scope."""
     blocks = ReviewQueries(spark, {"reviews": v.text_reviews(spark, d)}).eda_charts(**_ARGS)
-    return flat_ratings(shaped(blocks["summary"]))
+    return shaped(payload_rows(blocks), 4)
 
 
 @query("quartile_category_filter", f"""WITH {v.F1}, b AS (SELECT min(token_count) AS lo,

@@ -6,6 +6,7 @@ from catalog import views as v
 from catalog.base import ORACLE, query, shaped, table
 from revgauge import fixed_values as fv
 from revgauge.functions import text
+from revgauge.plans import stages
 from revgauge.session import spread
 from revgauge.operators import dedup, encode, filters, lexical, topics
 
@@ -185,6 +186,32 @@ def ngrams(spark, d):
     return shaped(lexical.ngram_counts(v.text_reviews(spark, d), tokens, 3))
 
 
+def _joined_ngrams(n):
+    parts = " || ' ' || ".join(f"t[i + {k}]" for k in range(n))
+    return f"array_to_string(list_transform(range(1, len(t) - {n} + 2), lambda i: {parts}), '|')"
+
+
+@query("prepared_ngrams", f"""WITH {CLEAN}, kept AS (SELECT doc_id, source, text AS raw, trim(regexp_replace(regexp_replace(out,
+    '(?i){"|".join(fv.PROMPT_PATTERNS).replace("'", "''")}', ' ', 'g'), '\\s+', ' ', 'g')) AS body
+  FROM cleaned JOIN documents USING (doc_id) WHERE length(out) > {fv.MIN_TEXT_LENGTH}),
+long AS (SELECT *, regexp_extract_all(body, '\\S+') AS w, substr(sha256(source || '||' || raw || '||2024-01-05||anonymous'), 1, 16)
+  AS review_hash FROM kept WHERE len(regexp_extract_all(body, '\\S+')) >= {fv.MIN_TOKENS_TO_ENCODE}),
+firsts AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY review_hash ORDER BY doc_id) = 1),
+toks AS (SELECT *, list_filter(w, lambda x: x NOT IN ({SQL_STOP}) AND length(x) > 2) AS t FROM firsts)
+SELECT doc_id AS review_id, review_hash, len(w) AS total_tokens_raw, len(t) AS n_tokens_processed,
+  {_joined_ngrams(2)} AS bigrams, {_joined_ngrams(3)} AS trigrams FROM toks""")
+def prepared_ngrams(spark, d):
+    """Clean, prepare, hash, deduplicate, then n-grams: documents as reviews of their source on one day."""
+    rows = _docs(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").select(
+        F.col("doc_id").alias("review_id"), F.col("source").alias("entity_id"), F.col("source").alias("entity_name"),
+        F.col("text").alias("review_text_raw"), F.lit("2024-01-05").cast("timestamp_ntz").alias("review_date"),
+        F.lit(None).cast("string").alias("reviewer_name"))
+    fresh = dedup.incremental_delta(stages.prepared_stage(stages.clean_stage(rows)), None)
+    out = stages.with_ngrams(fresh)
+    return shaped(out.select("review_id", "review_hash", "total_tokens_raw", "n_tokens_processed",
+                             F.array_join("bigrams", "|").alias("bigrams"), F.array_join("trigrams", "|").alias("trigrams")))
+
+
 @query("lexical_top_ngrams", f"""WITH {v.F1}, toks AS MATERIALIZED (SELECT list_filter({TOK},
   lambda x: x NOT IN ({SQL_REPORT_STOP})) AS t FROM f1), g AS ({_ngram_sql(2)})
 SELECT ngram, count(*) AS n FROM g GROUP BY ngram ORDER BY n DESC, ngram LIMIT 100""")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revgauge import fixed_values as fv
+from revgauge.session import via_table
 from revgauge.operators import (benchmark, compare, corpus, filters, firms, intake, lexical, ranking, sampling,
                                 scoring)
 
@@ -130,6 +131,8 @@ class ReviewQueries:
             fits = filters.quartile_category_filter(counts, "n_reviews", review_categories,
                                                     corpus.reviews_per_entity(base))
             rows = filters.reviews_of(rows, fits)
+        # ten blocks over the same rows: filter once, keep what the blocks read
+        rows = via_table(rows, "eda-rows")
         return eda_blocks(rows, lexical_n=lexical_n, lexical_top_n=lexical_top_n, exclude_stopwords=exclude_stopwords,
                           custom_stopwords=custom_stopwords, time_freq=time_freq, meta_from=base)
 

@@ -11,9 +11,15 @@ from revgauge.operators import dedup
 from revgauge.session import is_absent
 
 
-def _stored(spark, path: str, schema, before: int) -> DataFrame | None:
+#: Hex digits of a hash by which the store is partitioned.
+PREFIX = 2
+
+
+def _stored(spark, path: str, schema, before: int, prefixes: list[str]) -> DataFrame | None:
+    """Earlier batches' rows of the given prefixes; other folders are not read."""
     try:
-        return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < before)
+        rows = spark.read.schema(schema).parquet(path)
+        return rows.where((F.col("batch_id") < before) & F.col("prefix").isin(prefixes))
     except AnalysisException as e:
         if not is_absent(e):
             raise
@@ -24,15 +30,18 @@ def append_new_reviews(stream: DataFrame, store: str, checkpoint: str, order: st
     """Append reviews whose hash is not stored yet, whenever the first copy arrived.
 
     Each micro-batch writes its own ``batch_id`` folder by overwriting it, and compares itself with earlier folders
-    only: a batch that is run again after a failure gives the same table.
+    only: a batch that is run again after a failure gives the same table. Folders are split by the first digits of the
+    hash, and a batch reads only those that its own hashes can be in.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("prefix", F.substring("review_hash", 1, PREFIX))
         schema = batch.withColumn("batch_id", F.lit(0).cast("bigint")).schema
+        prefixes = [r.prefix for r in batch.select("prefix").distinct().collect()]   # 16 ** PREFIX at most
         fresh = dedup.keep_first(batch, order=order)
-        earlier = _stored(batch.sparkSession, store, schema, batch_id)
+        earlier = _stored(batch.sparkSession, store, schema, batch_id, prefixes)
         if earlier is not None:
             fresh = dedup.new_rows(fresh, earlier)
-        fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{store}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

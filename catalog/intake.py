@@ -116,6 +116,17 @@ def coerce_dates(spark, d):
     return shaped(rows.select(F.col("ID").cast("bigint").alias("review_id"), F.col("Date").alias("d")))
 
 
+@query("coerce_dates_written_out", """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 6 THEN NULL WHEN 0 THEN
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS d FROM orders""")
+def coerce_dates_written_out(spark, d):
+    """Dates written in six ways, and one that is none."""
+    ways = ["yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "M/d/yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyy/MM/dd"]
+    text = F.lit("no date")
+    for i, way in enumerate(ways):
+        text = F.when(F.col("o_orderkey") % 7 == i, F.date_format("o_orderdate", way)).otherwise(text)
+    return shaped(intake.coerce_dates(table(spark, d, "orders").select("o_orderkey", text.alias("d")), ["d"]))
+
+
 @query("coerce_rating", f"WITH {v.F1} SELECT review_id, rating FROM f1")
 def coerce_rating(spark, d):
     rows = intake.coerce_rating(raw_export(spark, d))

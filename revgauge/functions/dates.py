@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_date(text) -> Column:
-    """Text to timestamp without time zone; what cannot be read becomes NULL."""
-    return _col(text).try_cast("timestamp_ntz")
+#: Ways to write a date besides ISO, tried in this order; month before day where both would fit.
+PATTERNS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy",
+            "d MMMM yyyy", "d MMM yyyy")
+
+
+def parse_date(text, patterns: Sequence[str] = PATTERNS) -> Column:
+    """Text to timestamp without time zone: ISO first, then the patterns; what cannot be read becomes NULL."""
+    c = F.trim(_col(text).cast("string"))
+    others = [F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in patterns]
+    return F.coalesce(c.try_cast("timestamp_ntz"), *others)
 
 
 def seconds_between(start, end) -> Column:

@@ -132,6 +132,12 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, str]], Counter]:
     return out, paths
 
 
+def _text_token(path: str, text: str) -> str:
+    from xxhash import xxh3_128_hexdigest
+
+    return f"{path}\0={xxh3_128_hexdigest(text.encode())}"
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, page, token, path, chars, times): a page's path tokens (chars null) and text tokens."""
     from xxhash import xxh64_intdigest
@@ -148,7 +154,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     chars[main or path.rpartition("/")[0] or path] += len(text)
             rows += [(name, key, f"{p}\0slot", p, True, 1, n) for p, n in chars.items()]
             texts = Counter((path, text) for path, text, _, main in found if not main)
-            rows += [(name, key, f"{path}\0={text}", path, False, n, 0) for (path, text), n in texts.items()]
+            rows += [(name, key, _text_token(path, text), path, False, n, 0) for (path, text), n in texts.items()]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
         cols = list(zip(*rows, strict=True)) or [()] * 7
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
@@ -158,7 +164,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """One row per host with a template: (host, paths, boilerplate, main).
 
-    ``paths`` are the template's elements, ``boilerplate`` its texts (path, zero byte, ``=``, text), ``main`` the
+    ``paths`` are the template's elements, ``boilerplate`` its texts (path, zero byte, ``=``, digest), ``main`` the
     element whose slots hold most text outside of menus and the like, one that says that it is an article first.
     A page that occurs several times counts once. Texts inside a declared article are never boilerplate.
     """
@@ -202,7 +208,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if inside:
                 kept = inside
             else:
-                found = [b for b in found if f"{b[0]}\0={b[1]}" not in boilerplate]
+                found = [b for b in found if _text_token(b[0], b[1]) not in boilerplate]
                 kept = [b for b in found if main and (b[0] == main or b[0].startswith(f"{main}/"))]
                 if not kept and found:
                     mass: Counter = Counter()

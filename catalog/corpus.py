@@ -257,6 +257,22 @@ def eda_payload(spark, d):
     return shaped(payload_rows(blocks), 4)
 
 
+@query("eda_preset", f"""WITH {v.F1}, p AS ({_one_row_sql("quality", """SELECT count(*) AS n_rows, 10 AS n_cols,
+  count(DISTINCT entity_id) AS n_entities, count(DISTINCT entity_name) AS n_names, floor(epoch(min(review_date))) AS date_min,
+  floor(epoch(max(review_date))) AS date_max, avg(CAST(rating IS NULL AS INT)) AS rating_missing_frac,
+  avg(CAST(trim(review_text_raw) = '' AS INT)) AS text_empty_frac FROM f1""")}
+UNION ALL SELECT 'reviews_per_entity', CAST(entity_id AS VARCHAR), count(*) FROM f1 GROUP BY ALL)
+SELECT block, key, round(value, 4) + 0.0 AS value FROM p""")
+def eda_preset(spark, d):
+    """The stored quality summary counts entity names, the live block reviewers; filters do not apply."""
+    reviews = v.text_reviews(spark, d)
+    tables = {"reviews": reviews, "quality_summary": corpus.quality_summary(reviews)}
+    blocks = ReviewQueries(spark, tables).eda_charts(preset="eda", **_ARGS)
+    rows = _cells("quality", blocks["quality"]).unionByName(
+        _cells("reviews_per_entity", blocks["reviews_per_entity"], ("entity_id", "n_reviews")))
+    return shaped(rows, 4)
+
+
 @query("quartile_category_filter", f"""WITH {v.F1}, b AS (SELECT min(token_count) AS lo,
   CAST(floor(quantile_cont(token_count, 0.25)) AS BIGINT) AS q1, CAST(floor(quantile_cont(token_count, 0.75)) AS BIGINT) AS q3
   FROM f1)

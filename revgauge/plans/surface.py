@@ -106,9 +106,17 @@ class ReviewQueries:
                    rating=None, min_tokens=None, max_tokens=None, min_reviews=None, max_reviews=None, lexical_n: int = 1,
                    lexical_top_n: int = 20, exclude_stopwords: bool = False, custom_stopwords=None,
                    time_freq: str = "month", token_categories: Sequence[str] = (),
-                   review_categories: Sequence[str] = ()) -> dict[str, DataFrame]:
+                   review_categories: Sequence[str] = (), preset: str | None = None) -> dict[str, DataFrame]:
         """Every report block under one filter. ``meta`` describes the scope, not the filtered rows. Categories
-        (low, medium, high) are quartile ranges of the scope."""
+        (low, medium, high) are quartile ranges of the scope.
+
+        ``preset="eda"`` is the report of all reviews, whatever the other arguments: the stored tables
+        ``eda_summary``, ``quality_summary``, ``coverage`` and ``top_tokens`` stand in for the blocks of that kind.
+        """
+        if preset == "eda":
+            blocks = eda_blocks(self._table("reviews"))
+            stored = {"summary": "eda_summary", "quality": "quality_summary", "coverage": "coverage", "lexical": "top_tokens"}
+            return {**blocks, **{b: self.tables[t] for b, t in stored.items() if t in self.tables}}
         _one_of("scope", scope, ("global", "firm"))
         if scope == "firm" and firm_id is None and entity_id is None:
             raise ValueError("firm_id or entity_id is required when scope is 'firm'")

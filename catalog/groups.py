@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.base import query, shaped, table
-from revgauge.operators import firms, groups, sampling
+from revgauge.operators import firms, groups, sampling, scoring
 
 FIRM, ENTITY = "2-HIGH", 11
 
@@ -93,7 +93,9 @@ _WIDE = ", ".join(f"round(max(score) FILTER (dim = '{n}'), 6) + 0.0 AS sim_{n}"
   GROUP BY ALL)
 SELECT * FROM wide ORDER BY sha256('42|' || review_id), review_id LIMIT 100""")
 def sample_reviews(spark, d):
-    return shaped(sampling.sample_reviews(v.scored_reviews(spark, d)))
+    # pick first: only the sample is scored
+    picked = sampling.sample_rows(v.vector_reviews(spark, d), 100)
+    return shaped(sampling.sample_reviews(scoring.review_scores(picked, v.queries_of(spark, d))))
 
 
 @query("sample_scatter", f"""WITH {v.F1} SELECT review_id, rating, token_count FROM f1 WHERE rating IS NOT NULL

@@ -13,7 +13,6 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window

@@ -8,7 +8,7 @@ import numpy as np
 import corpus_pipeline
 from revgauge.llm.queries import tokenizer_path
 from test_llm_dedup import plain_classes, plain_repeats
-from test_llm_text import check_pieces, plain_passages
+from test_llm_text import plain_passages
 
 
 def plain_run(docs, items):

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.base import query, shaped, table
-from catalog.text import _HASH
 from revgauge.functions import dates
 from revgauge.operators import dedup, filters, intake, scoring, validate
 from revgauge.session import scratch_dir

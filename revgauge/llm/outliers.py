@@ -135,7 +135,7 @@ def robust_distances(df: DataFrame, names: tuple[str, ...], by: list[str], floor
     wide = sizes.groupBy("_wide").agg(F.sum("_n").alias("_w"))
     pools = sizes.join(wide, "_wide").select(
         "_key", F.when(F.col("_n") >= least, F.col("_key")).when(F.col("_w") >= least, F.col("_wide")).alias("_pool"))
-    df = stored(df.join(pools, "_key").drop("_key", "_wide"), "pooled")
+    df = stored(df.join(stored(pools.repartition(4, "_key"), "pools"), "_key").drop("_key", "_wide"), "pooled")
     base = df.where("_pool is not null").select("_pool", *names)
     # both estimates of a group share its rows: a small group's own rows, or all rows of the language
     scale = 0.7413
@@ -146,14 +146,19 @@ def robust_distances(df: DataFrame, names: tuple[str, ...], by: list[str], floor
     plain = base.groupBy("_pool").agg(*_moments(names)).drop("n").withColumn("start", F.lit(1))
     # the trimmed rows of a normal sample vary less: the usual factor makes up for it
     factor = share / chi2_cdf(chi2_quantile(share, d), d + 2)
-    now = stored(_factor(rough.unionByName(plain), floor, 1.0), "estimate")
+
+    def few(table: DataFrame) -> DataFrame:
+        """One row per group and start, in few files: their size tells Spark whether all tasks can have the table."""
+        return stored(table.repartition(4, "_pool"), "estimate")
+
+    now = few(_factor(rough.unionByName(plain), floor, 1.0))
     keep = ["_pool", "start", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)], "logdet"]
     for _ in range(steps):
         placed = _distance(base.join(now.select(keep), "_pool"), names)
         # a stored table of known size: rows need not be dealt out by their group to meet it
-        cut = stored(placed.groupBy("_pool", "start").agg(F.percentile_approx("d2", share, 1000).alias("cut")), "cut")
+        cut = few(placed.groupBy("_pool", "start").agg(F.percentile_approx("d2", share, 1000).alias("cut")))
         inner = placed.join(cut, ["_pool", "start"]).where("d2 <= cut")
-        now = stored(_factor(inner.groupBy("_pool", "start").agg(*_moments(names)), floor, factor), "estimate")
+        now = few(_factor(inner.groupBy("_pool", "start").agg(*_moments(names)), floor, factor))
     best = now.groupBy("_pool").agg(F.min(F.struct("logdet", "start")).alias("b")).select(
         "_pool", F.col("b.start").alias("start"))
     final = now.join(best, ["_pool", "start"]).select(keep)

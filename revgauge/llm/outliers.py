@@ -135,7 +135,7 @@ def robust_distances(df: DataFrame, names: tuple[str, ...], by: list[str], floor
     wide = sizes.groupBy("_wide").agg(F.sum("_n").alias("_w"))
     pools = sizes.join(wide, "_wide").select(
         "_key", F.when(F.col("_n") >= least, F.col("_key")).when(F.col("_w") >= least, F.col("_wide")).alias("_pool"))
-    df = stored(df.join(stored(pools.repartition(4, "_key"), "pools"), "_key").drop("_key", "_wide"), "pooled")
+    df = stored(df.join(stored(pools.repartition(4), "pools"), "_key").drop("_key", "_wide"), "pooled")
     base = df.where("_pool is not null").select("_pool", *names)
     # both estimates of a group share its rows: a small group's own rows, or all rows of the language
     scale = 0.7413
@@ -149,7 +149,7 @@ def robust_distances(df: DataFrame, names: tuple[str, ...], by: list[str], floor
 
     def few(table: DataFrame) -> DataFrame:
         """One row per group and start, in few files: their size tells Spark whether all tasks can have the table."""
-        return stored(table.repartition(4, "_pool"), "estimate")
+        return stored(table.repartition(4), "estimate")
 
     now = few(_factor(rough.unionByName(plain), floor, 1.0))
     keep = ["_pool", "start", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)], "logdet"]
@@ -161,7 +161,7 @@ def robust_distances(df: DataFrame, names: tuple[str, ...], by: list[str], floor
         now = few(_factor(inner.groupBy("_pool", "start").agg(*_moments(names)), floor, factor))
     best = now.groupBy("_pool").agg(F.min(F.struct("logdet", "start")).alias("b")).select(
         "_pool", F.col("b.start").alias("start"))
-    final = now.join(best, ["_pool", "start"]).select(keep)
+    final = few(now.join(best, ["_pool", "start"]).select(keep))
     placed = _distance(df.join(final, "_pool", "left"), names)
     return placed.drop("_pool", "start", "logdet", *[f"m{i}" for i in range(d)], *[f"z{i}" for i in range(d)],
                        *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])

@@ -50,11 +50,13 @@ def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     for batch in batches:
         flat, at = byte_columns(batch, "text")
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at))
         for s in range(0, len(flat), PIECE):
             a, b = max(0, s - length), min(len(flat), s + PIECE + 2 * length)
             if b - a < length:
                 continue
+            # the text that each of the piece's bytes belongs to
+            i, j = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b, "left")
+            row = np.repeat(np.arange(i, j), np.diff(np.clip(at[i:j + 1], a, b)))
             prefix = spans.prefix(flat[a:b])
             starts = np.arange(b - a - k + 1)
             half = spans.name(prefix, starts, starts + k)
@@ -67,7 +69,7 @@ def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             if width > step:
                 v = np.minimum(v[:step - width], v[width - step:])
             p = np.arange(s, min(s + PIECE, a + len(v)))   # the strings that start in this piece
-            p = p[at[row[p] + 1] - p >= length]
+            p = p[at[row[p - a] + 1] - p >= length]
             if not len(p):
                 continue
             place = (v[p - a] & low).astype(np.int64) + a
@@ -75,7 +77,7 @@ def _places(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             first = np.flatnonzero(new)
             last = np.concatenate((first[1:], [len(p)])) - 1
             place, lo, hi = place[first], p[first], p[last]
-            doc = row[place]
+            doc = row[place - a]
             begin = np.maximum(place - (length - k), at[doc])
             end = np.minimum(place + length, at[doc + 1])
             reach = (place - begin) * PACK + (end - place)

@@ -96,7 +96,7 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         flat, at = byte_columns(batch, "text")
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, where in enumerate(batch.column(2).to_pylist()):
-            where = np.sort(np.array(where, np.int64))
+            where = np.unique(np.array(where, np.int64))   # each row of a repeated id hands on its places
             place = where // PACK**2
             lo, n = place - where // PACK % PACK, where // PACK % PACK - where % PACK + 1
             p = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())

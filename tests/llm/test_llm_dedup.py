@@ -138,6 +138,17 @@ def test_suffix_odd_rows(spark, length):
     assert repeats(frame(spark, []), length=length) == []
 
 
+def test_suffix_repeated_first_copy(spark):
+    """Rows that repeat an id whose passage other documents share: the first copy is whole in both."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    part = letters(95)
+    first = letters(300) + part + letters(300)
+    rows = [(1, first), (1, first), (2, letters(200) + part + letters(200)), (3, letters(200) + part + letters(200))]
+    got = repeats(frame(spark, rows))
+    assert sorted(got) == sorted((d, len(t), [], t.encode()) for d, t in rows)
+
+
 def test_suffix_few_letters(spark):
     """Periodic texts, ties between equal halves and matches at every kind of border."""
     rng = random.Random(3)

@@ -41,7 +41,7 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         out: list[list] = [[], [], [], []]
-        for doc, text in zip(ids.tolist(), texts(batch, "text"), strict=True):
+        for row, text in enumerate(texts(batch, "text")):
             ends = split(text)
             if len(ends) < size:
                 continue
@@ -54,12 +54,12 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[
                 x = mix64(x * np.uint64(3) + name[k:k + n])
                 y = mix64(y * np.uint64(5) + (name[k:k + n] ^ np.uint64(0x5851F42D4C957F2D)))
             take = count[size:] - count[:-size] >= words
-            for column, values in zip(out, (x[take], y[take], np.full(take.sum(), doc, np.int64), np.flatnonzero(take)), strict=True):
+            for column, values in zip(out, (x[take], y[take], np.full(take.sum(), row), np.flatnonzero(take)), strict=True):
                 column.append(values)
         if out[0]:
-            x, y, doc, at = (np.concatenate(c) for c in out)
+            x, y, row, at = (np.concatenate(c) for c in out)
             x, y = signed(x), signed(y)
-            yield pa.record_batch([pa.array(x), pa.array(y), pa.array(doc), pa.array(at), pa.array(again(x, y, doc))],
+            yield pa.record_batch([pa.array(x), pa.array(y), pa.array(ids[row]), pa.array(at), pa.array(again(x, y, row))],
                                   ["x", "y", "doc_id", "at", "known"])
 
 
@@ -71,7 +71,7 @@ def _drop(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             covered = np.zeros(len(ends), bool)
             for k in range(size):
                 covered[np.array(runs or [], np.int64) + k] = True
-            starts = [0, *ends[:-1]]
+            starts = [0, *ends][:len(ends)]
             kept.append(b"".join(text[a:b] for a, b, c in zip(starts, ends, covered.tolist(), strict=True) if not c).decode())
             removed.append([i for i, c in enumerate(covered.tolist()) if c])
             total.append(len(ends))

@@ -185,6 +185,15 @@ def test_sentence_spans(spark):
     assert sentences.drop_repeated_spans(frame(spark, [])).collect() == []
 
 
+def test_sentences_repeated_row(spark):
+    """Rows that repeat an id whose text stands nowhere else stay whole, in one batch or in two."""
+    text = "One two three four five. Six seven eight nine ten! And so on it went until the end."
+    rows = [(5, text), (5, text), (7, "Other words stand here all alone. They have no copy in any row.")]
+    for parts in (1, 3):
+        got = sentences.drop_repeated_spans(frame(spark, rows).coalesce(1).repartition(parts)).collect()
+        assert sorted((r.doc_id, r.kept) for r in got) == sorted(rows)
+
+
 def test_sentence_query(spark, sf):
     rows = sorted(texts(spark, sf))
     seen, want = {}, {}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgauge.llm.base import shuffle_width, stored, texts
+from revgauge.llm.base import shuffle_width, signed, stored, texts
 
 #: Frequent words with a place of their own in the vocabulary; the first of them are classes of their own.
 WORDS, HEADS, ENDINGS = 8192, 32, 64
@@ -56,7 +56,7 @@ class Vocabulary:
 
     place: dict[bytes, int]
     classes: np.ndarray    # class of each place
-    inner: np.ndarray      # log-probability of a place's word within its class
+    inner: np.ndarray      # log-probability of a place's word within its class; of a rare word, without its own count
     prior: np.ndarray      # log-probability of each class, where the network starts
 
     @property
@@ -69,27 +69,28 @@ class Vocabulary:
         return np.array(found, np.int32)
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts every word of every text; the driver gets the ``WORDS`` most frequent and sums per ending."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, ending, n) of every word of every text."""
     counted = docs.select("text").mapInArrow(_count, "word binary, ending int, n long")
-    counts = stored(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
+    return stored(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The driver gets the ``WORDS`` most frequent words and sums per ending."""
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    sums = {r.ending: (r.n, r.words) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    sums = {r.ending: r.n for r in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect()}
     place = {bytes(r.word): i for i, r in enumerate(top)}
     classes = np.array([i if i < HEADS else HEADS + r.ending for i, r in enumerate(top)] + [HEADS + k for k in range(ENDINGS)], np.int64)
     n = np.array([r.n for r in top] + [0] * ENDINGS, float)
-    known, mass = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    rest = np.zeros(ENDINGS)
+    mass = np.zeros(ENDINGS)
     for r in top:
-        known[r.ending] += 1
         mass[r.ending] += r.n
-    for k, (total, words) in sums.items():
-        rest[k] = words - known[k]
+    for k, total in sums.items():
         n[len(top) + k] = total - mass[k]
     n[len(top):] = np.maximum(n[len(top):], 0.5)
     total = np.bincount(classes, n, CLASSES)
     share = np.log(n) - np.log(total[classes])
-    share[len(top):] -= np.log(np.maximum(rest, 1.0))   # a rare word has an even share of its ending's rare words
+    share[len(top):] = -np.log(total[HEADS:])
     return Vocabulary(place, classes, share, np.log(np.maximum(total, 0.5) / max(1.0, total.sum())))
 
 
@@ -234,10 +235,49 @@ def train(docs: DataFrame, words: Vocabulary, passes: int = PASSES) -> np.ndarra
     return Network(words.edge + 1, start).flat()
 
 
+def _rare(batches: Iterator[pa.RecordBatch], place: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """(key, word, times): how often each text, named by its digest, holds each word that has no place of its own."""
+    from xxhash import xxh3_64_intdigest
+
+    for batch in batches:
+        keys, words, times, sizes = [], [], [], []
+        for text in texts(batch, "text"):
+            own = Counter(w for w in text.lower().split() if w not in place)
+            keys.append(xxh3_64_intdigest(text))
+            sizes.append(len(own))
+            words += [xxh3_64_intdigest(w) for w in own]
+            times += own.values()
+        yield pa.record_batch([pa.array(signed(np.repeat(np.array(keys, np.uint64), sizes))), pa.array(signed(np.array(words, np.uint64))),
+                               pa.array(times, pa.int32())], ["key", "word", "times"])
+
+
+def _named(batches: Iterator[pa.RecordBatch], place: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """(word, log_n): the digest and the log of the count of each word that has no place of its own."""
+    from xxhash import xxh3_64_intdigest
+
+    for batch in batches:
+        rows = [(xxh3_64_intdigest(w), n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in place]
+        words, n = np.array([w for w, _ in rows], np.uint64), np.array([n for _, n in rows], float)
+        yield pa.record_batch([pa.array(signed(words)), pa.array(np.log(n))], ["word", "log_n"])
+
+
+def rare_shares(docs: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """(key, rare): the mean log count of a text's words without a place of their own. Equal texts have one row: the
+    copies weigh both sums alike. Words and texts meet by 64-bit digests; no word is frequent among these."""
+    held = docs.select("text").mapInArrow(partial(_rare, place=words.place), "key long, word long, times int")
+    named = counts.select("word", "n").mapInArrow(partial(_named, place=words.place), "word long, log_n double")
+    met = held.join(named.hint("shuffle_merge"), "word")
+    return met.groupBy("key").agg((F.sum(F.col("times") * F.col("log_n")) / F.sum("times")).alias("rare"))
+
+
 def _score(batches: Iterator[pa.RecordBatch], words: Vocabulary, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_words, log_prob, key, n_rare); ``log_prob`` lacks the log counts of the ``n_rare`` rare words."""
+    from xxhash import xxh3_64_intdigest
+
     net = Network(words.edge + 1, weights)
     for batch in batches:
-        n, total = [], []
+        n, total, n_rare = [], [], []
+        keys = np.array([xxh3_64_intdigest(t) for t in texts(batch, "text")], np.uint64)
         for group in _groups(texts(batch, "text")):
             ids = [words.ids(t) for t in group]
             laid, where = _laid_out(ids, words.edge)
@@ -252,22 +292,28 @@ def _score(batches: Iterator[pa.RecordBatch], words: Vocabulary, weights: np.nda
             sums = np.concatenate(([0.0], np.cumsum(logs)))
             n += sizes.tolist()
             total += (sums[ends] - sums[ends - sizes]).tolist()
-        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_words", "log_prob"])
+            n_rare += [int((i >= len(words.place)).sum()) for i in ids]
+        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(signed(keys)),
+                               pa.array(n_rare, pa.int64())], ["doc_id", "n_words", "log_prob", "key", "n_rare"])
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", passes: int = PASSES) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob, pseudo_perplexity) per row.
 
     A word's conditional log-probability given ``SIDE`` words on each side is the network's for the word's class plus
-    the word's share of its class in the corpus; their sum scores the document. Words are blank-separated, A-Z
-    lower-cased. The vocabulary counts all words of all documents, training masks words of every document, and scoring
+    the word's share of its class in the corpus, by the word's own count; their sum scores the document. Words are
+    blank-separated, A-Z lower-cased. The vocabulary counts all words of all documents, training masks words of every document, and scoring
     covers every word. A null or empty text has 0 words, log-probability 0 and a null mean; repeated rows count and are
     scored alike; an empty table gives no rows; other columns are ignored.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    words = vocabulary(slim)
+    counts = word_counts(slim)
+    words = vocabulary(counts)
     weights = train(slim, words, passes)
     scored = slim.mapInArrow(partial(_score, words=words, weights=weights),
-                             f"doc_id {dict(slim.dtypes)['doc_id']}, n_words long, log_prob double")
+                             f"doc_id {dict(slim.dtypes)['doc_id']}, n_words long, log_prob double, key long, n_rare long")
+    rare = F.when(F.col("n_rare") > 0, F.col("n_rare") * F.col("rare")).otherwise(0.0)
+    scored = scored.join(rare_shares(slim, counts, words), "key", "left").select(
+        "doc_id", "n_words", (F.col("log_prob") + rare).alias("log_prob"))
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return scored.withColumn("mean_log_prob", mean).withColumn("pseudo_perplexity", F.exp(-mean))

@@ -223,6 +223,16 @@ def test_lm(spark, sf):
     assert lm.score(frame(spark, [])).collect() == [] and lm.score(frame(spark, ODD[:2])).count() == 2
 
 
+def test_lm_rare_words(spark, monkeypatch):
+    """Words without a place of their own are scored by their own counts."""
+    monkeypatch.setattr(lm, "WORDS", 4)
+    texts = ["the of and to " * 60 + "walking " * 40, "talking " * 4, "sing", "talking", "talking", "walking"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.log_prob for r in lm.score(frame(spark, rows), passes=0).collect()}
+    assert got[5] - got[3] == pytest.approx(np.log(41 / 6)) and got[3] == pytest.approx(got[4])
+    assert got[3] - got[2] == pytest.approx(np.log(6 / 1))   # all three end in "ing"
+
+
 def test_lm_learns():
     """A word that its neighbours settle becomes likelier than its share."""
     words = lm.Vocabulary({}, np.arange(lm.CLASSES), np.zeros(lm.CLASSES), np.zeros(lm.CLASSES))

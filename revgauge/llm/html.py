@@ -131,10 +131,10 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, str]], Counter]:
     return out, paths
 
 
-def _text_token(path: str, text: str) -> str:
+def _text_token(path: str, text: str, main: str) -> str:
     from xxhash import xxh3_128_hexdigest
 
-    return f"{path}\0={xxh3_128_hexdigest(text.encode())}"
+    return f"{path}\0{'~' if main else '='}{xxh3_128_hexdigest(text.encode())}"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +152,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not aside:
                     chars[main or path.rpartition("/")[0] or path] += len(text)
             rows += [(name, key, f"{p}\0slot", p, True, 1, n) for p, n in chars.items()]
-            texts = Counter((path, text) for path, text, _, main in found if not main)
-            rows += [(name, key, _text_token(path, text), path, False, n, 0) for (path, text), n in texts.items()]
+            texts = Counter((path, text, main) for path, text, _, main in found)
+            rows += [(name, key, _text_token(path, text, main), path, False, n, 0) for (path, text, main), n in texts.items()]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
         cols = list(zip(*rows, strict=True)) or [()] * 7
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
@@ -163,9 +163,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """One row per host with a template: (host, paths, boilerplate, main).
 
-    ``paths`` are the template's elements, ``boilerplate`` its texts (path, zero byte, ``=``, digest), ``main`` the
+    ``paths`` are the template's elements, ``boilerplate`` its texts (path, zero byte, ``=`` or ``~``, digest), ``main`` the
     element whose slots hold most text outside of menus and the like, one that says that it is an article first.
-    A page that occurs several times counts once. Texts inside a declared article are never boilerplate.
+    A page that occurs several times counts once. Texts inside a declared article (``~``) are
+    boilerplate if they occur as a template element does, so that an article that half the pages repeat is none.
     """
     rows = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).where("html is not null").mapInArrow(
         _tokens, "host string, page long, token string, path string, is_slot boolean, times long, chars long")
@@ -184,6 +185,8 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
     paths = nested.where("held or parent = ''").groupBy("host").agg(F.collect_list("path").alias("paths"))
     texts = seen.where("instr(token, '\\0=') > 0").join(classes.where("size >= 2"), ["host", "vector"], "left_semi").join(
         elements.select("host", "path"), ["host", "path"], "left_semi")
+    inside = seen.where("instr(token, '\\0~') > 0").join(elements.select("host", "vector"), ["host", "vector"], "left_semi")
+    texts = texts.select("host", "token").unionByName(inside.select("host", "token"))
     texts = texts.groupBy("host").agg(F.collect_list("token").alias("boilerplate"))
     said = F.col("path").rlike(r"/(article|main)[^/]*$|articlebody[^/]*$")
     order = Window.partitionBy("host").orderBy(F.desc(said), F.desc("chars"), "path")
@@ -203,11 +206,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[name] = (t.get("main"), frozenset(t.get("boilerplate") or ()))
             main, boilerplate = known[name]
             found = [b for b in blocks(page or "")[0] if not b[2]]
-            inside = [b for b in found if b[3]]
-            if inside:
-                kept = inside
-            else:
-                found = [b for b in found if _text_token(b[0], b[1]) not in boilerplate]
+            declared = any(b[3] for b in found)
+            found = [b for b in found if not boilerplate or _text_token(b[0], b[1], b[3]) not in boilerplate]
+            kept = [b for b in found if b[3]]
+            if not declared:
                 kept = [b for b in found if main and (b[0] == main or b[0].startswith(f"{main}/"))]
                 if not kept and found:
                     mass: Counter = Counter()

@@ -276,6 +276,18 @@ def test_html_template(spark):
     assert html.main_text(df.limit(0)).collect() == []
 
 
+def test_html_template_inside_article(spark):
+    """Texts that the pages of a host share go from declared articles too; where there is no template they stay."""
+    def page(i):
+        return (f"<html><body><h1>Site</h1><article><p>Read this story in our app.</p><p>Story {i} has words of its own.</p>"
+                f"<p>Its end, number {i}.</p></article></body></html>")
+
+    rows = [(i, f"http://many.org/{i}", page(i)) for i in range(6)] + [(9, "http://one.org/", page(9))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} has words of its own.\nIts end, number {i}." for i in range(6))
+    assert got[9] == "Read this story in our app.\nStory 9 has words of its own.\nIts end, number 9."
+
+
 def test_html_blocks():
     page = ("<body><nav>menu</nav><main><header><h1>Title</h1></header><p>a <b>b</b>\n c &amp; d<div class=comments>no</div>"
             "<script>var x='</p>'</script><ul><li>e<li>f</ul><form>g</form>tail</main><footer>z")

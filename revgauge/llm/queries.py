@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgauge.llm import decontaminate, html, langid, lm, outliers, packing, quality, sentences, simhash, suffix
+from revgauge.llm import decontaminate, html, langid, lm, outliers, packing, quality, sentences, simhash, suffix, whitening
 from revgauge.llm.base import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op1_lm_scoring")
 def op1(spark: SparkSession, d: str) -> DataFrame:
     return lm.score(table(spark, d, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revgauge.llm import decontaminate, html, langid, lm, outliers, packing, quality, sentences, simhash, spelling, suffix, whitening
+from revgauge.llm import decontaminate, html, langid, lm, orderhash, outliers, packing, quality, sentences, simhash, spelling, suffix, whitening
 from revgauge.llm.base import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,11 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return lm.score(table(spark, d, "documents"))
 
 
+@query("op11_order_minhash")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return orderhash.fingerprints(table(spark, d, "documents"))
+
+
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, d: str) -> DataFrame:
     return spelling.group_variants(table(spark, d, "documents"), rewrite=spelling.planted)

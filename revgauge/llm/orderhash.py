@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +22,9 @@ from revgauge.llm.base import mix64, shuffle_width, texts
 PLACE = 24
 #: k-mers whose hashes are taken at once under all functions.
 CHUNK = 2048
-NOTHING = np.uint32(2**32 - 1)
-
-
-class Least(NamedTuple):
-    """Per function the smallest values, their places and k-mers, by (value, place); unused entries are ``NOTHING``."""
-
-    value: np.ndarray
-    place: np.ndarray
-    gram: np.ndarray
+#: No k-mer, as (value, place) in one number.
+NONE = np.uint64(2**64 - 1)
+LOW = np.uint64(2**32 - 1)
 
 
 class OrderMinHash:
@@ -56,7 +49,7 @@ class OrderMinHash:
         part = codes.astype(np.uint64) + np.uint64(1)
         while have < k:
             step = min(have, k - have)   # the last windows may overlap: they still name their code points
-            part = mix64(part[:n - have - step + 1] * np.uint64(self.base)) + part[step:n - have + 1]
+            part = part[:n - have - step + 1] * np.uint64(pow(self.base, have, 2**64)) + part[step:n - have + 1]
             have += step
         return mix64(part ^ np.uint64(k))
 
@@ -80,44 +73,41 @@ class OrderMinHash:
             number[place] = rank - np.where(place >= ends, passed[:-1] - passed[start], 0)
         return number.astype(np.uint64)
 
-    def _least(self, grams: np.ndarray, number: np.ndarray, at: int) -> Least:
+    def _least(self, grams: np.ndarray, number: np.ndarray, at: int) -> np.ndarray:
+        """Per function the smallest hashes with their places, counted from ``at``: value * 2**32 + place, rising."""
         mixed = (mix64(grams + number * np.uint64(self.repeat)) >> np.uint64(32)).astype(np.uint32)
-        value = np.full((self.functions, self.size), NOTHING)
-        place = np.full((self.functions, self.size), -1)
+        least = np.full((self.functions, self.size), NONE)
+        room = np.empty((self.functions, min(CHUNK, len(mixed))), np.uint32)
         for a in range(0, len(mixed), CHUNK):
-            hashed = mixed[a:a + CHUNK] * self.odd
-            rows = np.flatnonzero(hashed.min(axis=1) < value[:, -1])
-            hashed = hashed[rows]
-            for _ in range(min(self.size, hashed.shape[1])):
+            part = mixed[a:a + CHUNK]
+            hashed = np.multiply(part, self.odd, out=room[:, :len(part)])
+            rows = np.arange(self.functions)
+            if a:
+                rows = np.flatnonzero(hashed.min(axis=1) < (least[:, -1] >> np.uint64(32)))
                 if not len(rows):
-                    break
+                    continue
+                hashed = hashed[rows]
+            line, found = np.arange(len(rows)), [least[rows]]
+            for _ in range(min(self.size, hashed.shape[1])):
                 best = hashed.argmin(axis=1)
-                found = hashed[np.arange(len(rows)), best]
-                better = found < value[rows, -1]
-                rows, best, found, hashed = rows[better], best[better], found[better], hashed[better]
-                value[rows, -1], place[rows, -1] = found, a + best
-                order = np.argsort(value[rows], axis=1, kind="stable")   # earlier places come first among equal values
-                value[rows], place[rows] = (np.take_along_axis(x[rows], order, axis=1) for x in (value, place))
-                hashed[np.arange(len(rows)), best] = NOTHING
-        gram = np.where(place >= 0, grams[place], np.uint64(0)) if len(grams) else np.zeros(place.shape, np.uint64)
-        return Least(value, np.where(place >= 0, place + at, -1), gram)
-
-    def _joined(self, *parts: Least) -> np.ndarray:
-        """The elements: the smallest of all parts, in the order of their places, hashed."""
-        both = Least(*(np.concatenate(x, axis=1) for x in zip(*parts, strict=True)))
-        order = np.argsort(both.value, axis=1, kind="stable")[:, :self.size]
-        place, gram = (np.take_along_axis(x, order, axis=1) for x in (both.place, both.gram))
-        order = np.argsort(place, axis=1, kind="stable")
-        place, gram = (np.take_along_axis(x, order, axis=1) for x in (place, gram))
+                found.append((hashed[line, best].astype(np.uint64) << np.uint64(32) | (best + (at + a)).astype(np.uint64))[:, None])
+                hashed[line, best] = LOW
+            least[rows] = np.sort(np.concatenate(found, axis=1), axis=1)[:, :self.size]
+        return least
+
+    def _joined(self, grams: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+        """The elements: the k-mers with the smallest hashes of all parts, in the order of their places, hashed."""
+        least = np.sort(np.concatenate(parts, axis=1), axis=1)[:, :self.size]
+        place = np.sort(least & LOW, axis=1)   # of a missing one beyond any other
         out = np.zeros(self.functions, np.uint64)
-        for j in range(self.size):
-            out = np.where(place[:, j] >= 0, mix64((out ^ gram[:, j]) * np.uint64(self.link)), out)
+        for j in range(min(self.size, len(grams))):
+            out = mix64((out ^ grams[place[:, j]]) * np.uint64(self.link))
         return (out >> np.uint64(48)).astype(np.uint16)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """The fingerprint of a text given as code points."""
         grams = self.grams(codes)
-        return self._joined(self._least(grams, self._numbered(grams, len(grams), len(grams)), 0))
+        return self._joined(grams, self._least(grams, self._numbered(grams, len(grams), len(grams)), 0))
 
     def of_edited(self, codes: np.ndarray, keep: int, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The fingerprints of a text and of the same with all after ``keep`` code points replaced by ``end``; the k-mers
@@ -131,7 +121,7 @@ class OrderMinHash:
         number = self._numbered(grams, split, len(own))
         start, rest, other = (self._least(grams[a:b], number[a:b], min(a, split)) for a, b in
                               ((0, split), (split, len(own)), (len(own), len(grams))))
-        return self._joined(start, rest), self._joined(start, other)
+        return self._joined(own, start, rest), self._joined(np.concatenate((own[:split], new)), start, other)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -106,7 +106,7 @@ def run_all(spark: SparkSession, csv_path: str, out: str, excluded=(), store: Da
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    # the export is text-heavy and read in one task per file: spread it before the cleaning work
+    # ranges of the export are uneven, and a small one is a single range: spread it before the cleaning work
     raw = read_reviews_csv(spark, csv_path)
     standard = stored("reviews_standard", standard_stage(raw, excluded).hint("rebalance"))
     clean = stored("reviews_clean", clean_stage(standard))

@@ -9,6 +9,7 @@ record. Records that cross ranges leave a fragment in each, which are put togeth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fields as RFC 4180 has them: quotes enclose a whole field or do not occur in it.
-_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
-WELL_FORMED = rf"(?s)\A{_FIELD}(?:,{_FIELD})*\z"
+QUOTE, COMMA = b'",'
 ODD_QUOTES = "a quote stands inside a field that is not quoted, or the last quote is not closed; read the file whole"
 
 
@@ -28,74 +27,106 @@ def _lines(spark: SparkSession, path) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
 
 
+def _quotes(column: str):
+    return F.octet_length(column) - F.octet_length(F.replace(column, F.lit('"'), F.lit("")))
+
+
 def _states(lines: DataFrame) -> DataFrame:
     """(file, start, inside, returns), one row per range: whether it begins inside quotes, and whether the file's line
     breaks are \\r\\n, as its first line has it."""
-    quotes = F.length("line") - F.length(F.translate("line", '"', ""))
     # a range is read in order by one task
-    ranges = lines.groupBy("file", "start").agg(F.sum(quotes).alias("quotes"), F.first(F.col("line").endswith("\r")).alias("returns"))
+    ranges = lines.groupBy("file", "start").agg(F.sum(_quotes("line")).alias("quotes"), F.first(F.col("line").endswith("\r")).alias("returns"))
     order = Window.partitionBy("file").orderBy("start")
     before = F.sum("quotes").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return ranges.select("file", "start", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside"),
                          F.first("returns").over(order).alias("returns"))
 
 
-def _check(records: list[str], file: str) -> None:
-    quoted = pa.array([r for r in records if '"' in r], pa.large_string())
-    if not pc.all(pc.match_substring_regex(quoted, WELL_FORMED), min_count=0).as_py():
-        raise ValueError(f"{file}: {ODD_QUOTES}")
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, start, part, first, record): whole records (part 0), and what a range has of a record that came in from the
-    range before (1) or goes on in the next one (2). ``first`` marks the record at a file's start, its header."""
-    at, inside, first, held = None, False, False, []
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["file", "start", "part", "first", "record"])
-
-    def range_end() -> list[tuple]:
-        return [(*at, 2 if began_here else 1, first, "\n".join(held))] if held else []
+def _bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' bytes end to end, and where each line starts."""
+    lines = lines.cast(pa.large_string())
+    offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset:lines.offset + len(lines) + 1]
+    data = lines.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat, offsets - offsets[0]
+
+
+def _well_formed(flat: np.ndarray, at: np.ndarray, inside: bool) -> bool:
+    """Whether quotes enclose whole fields: one that opens stands at a field's start, one that closes at its end, or both
+    beside another quote."""
+    quotes = np.flatnonzero(flat == QUOTE)
+    if not len(quotes):
+        return True
+    opens = (np.arange(len(quotes)) + inside) % 2 == 0
+    starts, ends = np.zeros(len(flat) + 1, bool), np.zeros(len(flat) + 1, bool)
+    starts[at[:-1]], ends[at[1:]] = True, True
+    before, after = flat[np.maximum(quotes - 1, 0)], flat[np.minimum(quotes + 1, len(flat) - 1)]
+    good = np.where(opens, starts[quotes] | (before == COMMA) | (before == QUOTE),
+                    ends[quotes + 1] | (after == COMMA) | (after == QUOTE))
+    return bool(good.all())
+
+
+def _records(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
+    """(file, start, part, first, record): whole records (part 0) or, with ``edges``, what a range has of a record that
+    came in from the range before (1) or goes on in the next one (2). ``first`` marks the record at a file's start, its
+    header."""
+    at, inside, first, began_here, held = None, False, False, True, b""
+
+    def out(part: int, records: pa.Array, first: bool = False) -> pa.RecordBatch:
+        n = len(records)
+        return pa.record_batch([pa.repeat(pa.scalar(at[0]), n), pa.repeat(pa.scalar(at[1], pa.int64()), n), pa.repeat(pa.scalar(part, pa.int32()), n),
+                                pa.repeat(first, n), records], ["file", "start", "part", "first", "record"])
+
+    def one(part: int, record: bytes) -> pa.RecordBatch:
+        return out(part, pa.array([record], pa.binary()).cast(pa.string()), first)
 
-    began_here = True
     for batch in batches:
-        rows: list[tuple] = []
+        if not batch.num_rows:
+            continue
         files, starts = batch.column(0), batch.column(1).to_numpy()
-        same = np.ones(batch.num_rows, bool)
+        same = np.zeros(batch.num_rows, bool)
         same[1:] = (starts[1:] == starts[:-1]) & pc.equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)
-        same[:1] = False
         cuts = [*np.flatnonzero(~same).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             key = (files[a].as_py(), int(starts[a]))
             if key != at:
-                rows += range_end()
-                at, inside, first, held = key, batch.column(3)[a].as_py(), key[1] == 0, []
+                if held and edges:
+                    yield one(2 if began_here else 1, held)
+                at, inside, first, held = key, batch.column(3)[a].as_py(), key[1] == 0, b""
                 began_here = not inside
-            own = batch.column(2).slice(a, b - a)
+            lines = batch.column(2).slice(a, b - a)
             if batch.column(4)[a].as_py():
-                own = pc.replace_substring_regex(own, r"\r\z", "")
-            odd = np.cumsum(pc.count_substring(own, '"').to_numpy()) + inside
-            ends = np.flatnonzero(odd % 2 == 0).tolist()
-            texts, done, last = own.to_pylist(), [], 0
-            for e in ends:
+                lines = pc.replace_substring_regex(lines, r"\r\z", "")
+            if not edges and not _well_formed(*_bytes(lines), inside):
+                raise ValueError(f"{at[0]}: {ODD_QUOTES}")
+            odd = (np.cumsum(pc.count_substring(lines, '"').to_numpy()) + inside) % 2 == 1
+            inside = bool(odd[-1])
+            ends = np.flatnonzero(~odd)
+            if edges and len(ends):
                 if not began_here:
-                    rows.append((*at, 1, first, "\n".join([*held, *texts[last:e + 1]])))
-                    began_here, held = True, []
-                else:
-                    record = "\n".join([*held, *texts[last:e + 1]]) if held or e > last else texts[e]
-                    held = []
-                    if record:
-                        done.append(record)
-                        rows.append((*at, 0, first, record))
-                        first = False
-                last = e + 1
-            held += texts[last:]
-            inside = bool(odd[-1] % 2)
-            _check(done, at[0])
-        yield out(rows)
-    yield out(range_end() if at else [])
+                    begun = pc.binary_join_element_wise(lines[:ends[0] + 1], pc.if_else(pa.array(odd[:ends[0] + 1]), "\n", ""), "")
+                    yield one(1, held + _bytes(begun)[0].tobytes())
+                lines, odd, first = lines[ends[-1] + 1:], odd[ends[-1] + 1:], False
+                began_here, held, ends = True, b"", ends[:0]
+            # the line breaks inside quotes are put back; what stands between two ends is a record
+            flat, offsets = _bytes(pc.binary_join_element_wise(lines, pc.if_else(pa.array(odd), "\n", ""), ""))
+            bounds = offsets[[0, *(ends + 1)]]
+            if len(bounds) > 1:
+                begun = held + flat[:bounds[1]].tobytes()
+                if begun and began_here:
+                    yield one(0, begun)
+                    first = False
+                began_here, held = True, b""
+                whole = pa.LargeStringArray.from_buffers(len(bounds) - 2, pa.py_buffer(bounds[1:].tobytes()), pa.py_buffer(flat.tobytes()))
+                whole = whole.filter(pc.greater(pc.binary_length(whole), 0)).cast(pa.string())
+                if len(whole) and first:
+                    yield out(0, whole[:1], True)
+                    first, whole = False, whole[1:]
+                if len(whole):
+                    yield out(0, whole)
+            held += flat[bounds[-1]:].tobytes()
+    if held and edges:
+        yield one(2 if began_here else 1, held)
 
 
 def records(spark: SparkSession, path) -> DataFrame:
@@ -110,15 +141,16 @@ def records(spark: SparkSession, path) -> DataFrame:
     known = lines.join(state, ["file", "start"], "left").select(
         "file", "start", "line", F.coalesce("inside", F.raise_error(F.lit("file ranges changed while they were read")).cast("boolean"))
         .alias("inside"), "returns")
-    found = known.mapInArrow(_records, "file string, start long, part int, first boolean, record string")
-    whole = found.where("part = 0 and not first").select("file", "record")
+    found = [known.mapInArrow(partial(_records, edges=e), "file string, start long, part int, first boolean, record string")
+             for e in (False, True)]
+    whole, pieces = found[0].where(~F.col("first")).select("file", "record"), found[1]
     # a record begins with a part 2 and goes on with parts 1 of the ranges after it
-    pieces = found.where("part > 0")
     chain = F.sum(F.when(F.col("part") == 2, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("start", "part"))
     joined = pieces.withColumn("chain", chain).groupBy("file", "chain").agg(
         F.array_sort(F.collect_list(F.struct("start", "part", "record"))).alias("p"), F.bool_or("first").alias("first"))
-    crossing = joined.where("not first").select("file", F.array_join("p.record", "\n").alias("record"))
-    checked = F.when(F.col("record").rlike('^(?s:[^"]*("[^"]*"[^"]*)*)$'), F.col("record")).otherwise(F.raise_error(F.lit(ODD_QUOTES)))
+    crossing = joined.where("not first").select("file", F.array_join("p.record", "").alias("record"))
+    even = _quotes("record") % 2 == 0
+    checked = F.when(even, F.col("record")).otherwise(F.raise_error(F.lit(ODD_QUOTES)))
     return whole.unionByName(crossing.select("file", checked.alias("record")))
 
 

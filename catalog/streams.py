@@ -9,9 +9,9 @@ from revgauge.session import scratch_dir
 from revgauge.streaming import ingest
 
 
-def _arrivals(spark, rows, key, parts=3, last=None):
-    """The rows as a stream of ``parts`` files in the order of ``key``, one file a micro-batch; ``last`` is added to the
-    last file."""
+def _arrivals(spark, rows, key, parts=3, files=4, last=None):
+    """The rows as a stream in the order of ``key``: ``parts`` micro-batches of ``files`` files; ``last`` is added to the
+    last one."""
     path = scratch_dir(spark, "arrivals")
     cuts = rows.select(F.percentile_approx(key, [i / parts for i in range(1, parts)]).alias("c")).first().c
     bounds = [None, *cuts, None]
@@ -23,8 +23,8 @@ def _arrivals(spark, rows, key, parts=3, last=None):
             part = part.where(F.col(key) <= F.lit(bounds[i + 1]))
         if last is not None and i == parts - 1:
             part = part.unionByName(last)
-        part.coalesce(1).write.mode("append").parquet(path)   # one after another: files are taken in this order
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)   # one after another: files are taken in this order
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _hashed(spark, d):
@@ -39,7 +39,7 @@ def stream_dedup_ingest(spark, d):
     """Three micro-batches; copies come within a batch and across batches."""
     store, mark = scratch_dir(spark, "stream-store"), scratch_dir(spark, "stream-mark")
     ingest.append_new_reviews(_arrivals(spark, _hashed(spark, d), "review_id"), store, mark).awaitTermination()
-    return shaped(spark.read.parquet(store).select("review_id", "review_hash"))
+    return shaped(ingest.review_store(spark, store).rows().select("review_id", "review_hash"))
 
 
 @query("stream_dedup_within", f"WITH {CONTENT} SELECT min(review_id) AS review_id, review_hash FROM ct GROUP BY review_hash")

@@ -2,46 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from revgauge.operators import dedup
-from revgauge.session import is_absent
+from revgauge.sources.keyed_store import KeyedStore
 
 
-#: Hex digits of a hash by which the store is partitioned.
-PREFIX = 2
-
-
-def _stored(spark, path: str, schema, before: int, prefixes: list[str]) -> DataFrame | None:
-    """Earlier batches' rows of the given prefixes; other folders are not read."""
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-        return rows.where((F.col("batch_id") < before) & F.col("prefix").isin(prefixes))
-    except AnalysisException as e:
-        if not is_absent(e):
-            raise
-        return None
+def review_store(spark, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, "review_hash")
 
 
 def append_new_reviews(stream: DataFrame, store: str, checkpoint: str, order: str = "review_id") -> StreamingQuery:
-    """Append reviews whose hash is not stored yet, whenever the first copy arrived.
+    """Append reviews whose hash is not stored yet, whenever the first copy arrived; ``review_store`` reads them.
 
-    Each micro-batch writes its own ``batch_id`` folder by overwriting it, and compares itself with earlier folders
-    only: a batch that is run again after a failure gives the same table. Folders are split by the first digits of the
-    hash, and a batch reads only those that its own hashes can be in.
+    A micro-batch opens only files that may hold one of its hashes. A batch that is run again after a failure is either
+    stored, and changes nothing, or starts from what was stored before it.
     """
+    reviews = review_store(stream.sparkSession, store)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("prefix", F.substring("review_hash", 1, PREFIX))
-        schema = batch.withColumn("batch_id", F.lit(0).cast("bigint")).schema
-        prefixes = [r.prefix for r in batch.select("prefix").distinct().collect()]   # 16 ** PREFIX at most
-        fresh = dedup.keep_first(batch, order=order)
-        earlier = _stored(batch.sparkSession, store, schema, batch_id, prefixes)
-        if earlier is not None:
-            fresh = dedup.new_rows(fresh, earlier)
-        fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{store}/batch_id={batch_id}")
+        if batch_id > reviews.last_batch():
+            reviews.append(reviews.new_rows(dedup.keep_first(batch, order=order)), batch_id)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -60,16 +43,23 @@ def review_volume(stream: DataFrame, period: str = "1 day", delay: str = "1 day"
             .select(F.col("window.start").alias("period_start"), "n"))
 
 
+def _volume_store(spark, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, "period_start", newest="batch_id")
+
+
 def write_volume(volume: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Write changed periods of each micro-batch to its own folder; ``read_volume`` takes the latest."""
+    """Store the changed periods of each micro-batch; ``read_volume`` takes the latest of each."""
+    periods = _volume_store(volume.sparkSession, table)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        periods.append(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")), batch_id)
 
     return (volume.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_volume(spark, table: str) -> DataFrame:
-    latest = Window.partitionBy("period_start").orderBy(F.desc("batch_id"))
-    rows = spark.read.schema("period_start timestamp, n bigint, batch_id bigint").parquet(table)
-    return rows.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") == 1).select("period_start", "n")
+    rows = _volume_store(spark, table).rows()
+    if rows is None:
+        return spark.createDataFrame([], "period_start timestamp, n bigint")
+    return rows.select("period_start", "n")

@@ -163,7 +163,7 @@ def test_stream_in_steps(spark, tmp_path):
         _reviews(spark, b).write.mode("append").parquet(src)
         stream = spark.readStream.schema(_reviews(spark, b).schema).parquet(src)
         ingest.append_new_reviews(stream, store, mark).awaitTermination()
-        ids.append(sorted(r.review_id for r in spark.read.parquet(store).collect()))
+        ids.append(sorted(r.review_id for r in ingest.review_store(spark, store).rows().collect()))
     assert ids == [[1, 2], [1, 2, 8]]
     volume, vmark = str(tmp_path / "volume"), str(tmp_path / "vmark")
     ingest.write_volume(ingest.review_volume(stream), volume, vmark).awaitTermination()

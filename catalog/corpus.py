@@ -81,7 +81,7 @@ def reviews_per_entity(spark, d):
 
 
 def _time_sql(freq, step, label):
-    return f"""WITH late AS (SELECT o_orderdate AS d FROM orders WHERE month(o_orderdate) NOT IN (2, 7, 8, 9)),
+    return f"""WITH late AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 10 YEAR ELSE o_orderdate END AS d FROM orders),
 c AS (SELECT date_trunc('{freq}', d) AS s, count(*) AS n FROM late GROUP BY ALL),
 cal AS (SELECT unnest(generate_series(min(s), max(s), INTERVAL '{step}')) AS s FROM c)
 SELECT {label} AS period, coalesce(n, 0) AS n FROM cal LEFT JOIN c USING (s)"""
@@ -90,8 +90,9 @@ SELECT {label} AS period, coalesce(n, 0) AS n FROM cal LEFT JOIN c USING (s)"""
 def _over_time(freq, step, label, name):
     @query(name, _time_sql(freq, step, label))
     def run(spark, d):
-        # months without orders, and a quarter, must show as 0
-        late = table(spark, d, "orders").where(~F.month("o_orderdate").isin(2, 7, 8, 9))
+        # a fifth of the orders comes ten years later: the periods between must show as 0
+        later = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderdate") + F.expr("INTERVAL 10 YEARS"))
+        late = table(spark, d, "orders").withColumn("o_orderdate", later.otherwise(F.col("o_orderdate")))
         return shaped(corpus.reviews_over_time(late, freq, "o_orderdate"))
 
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from revgauge import fixed_values as fv
 from revgauge.functions import vectors
+from revgauge.session import small_rows
+
+#: Query vectors go to every task.
+MAX_QUERIES = 10_000
+
 
 class QueryVectors:
     """Named query vectors, read once: settings, six in normal use. They become columns of the result, and one matrix
@@ -21,7 +26,7 @@ class QueryVectors:
     @classmethod
     def from_table(cls, table: DataFrame, name: str = "dim", vector: str = "query_vec",
                    order: Sequence[str] | None = None) -> QueryVectors:
-        found = {r[0]: r[1] for r in table.select(name, vector).collect()}
+        found = {r[0]: r[1] for r in small_rows(table.select(name, vector), MAX_QUERIES, "query vectors")}
         names = list(order) if order else sorted(found)
         return cls(names, np.array([found[n] for n in names]))
 

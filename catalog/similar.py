@@ -39,14 +39,46 @@ def similar_entities(spark, d):
     return shaped(_near(similarity.similar_entities, v.mean_vectors(spark, d), "entity_id"))
 
 
-@query("kmeans_topics", f"""WITH {v.F2} SELECT count(*) AS n_rows, count(DISTINCT review_id) AS n_reviews,
-  CAST(20 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_outside FROM f2""")
+K, SEED, ROUNDS, STEPS = 20, 42, 5, 20
+
+
+def _kmeans_sql():
+    """The same seeds and steps, one CTE each; sums are of doubles here."""
+    u = "(('0x' || substr(md5('{seed}:{r}:' || id), 1, 8))::BIGINT + 0.5) / 4294967296.0"
+    draw = lambda r: u.format(seed=SEED, r=r)
+    d2 = "list_distance(p.v, c.v) * list_distance(p.v, c.v)"
+    ctes = ["p AS MATERIALIZED (SELECT review_id AS id, embedding AS v, list_dot_product(embedding, embedding) AS len2 FROM f2)",
+            f"s0 AS MATERIALIZED (SELECT 0 AS r, 0.0::DOUBLE AS key, id, v FROM p ORDER BY {draw(0)}, id LIMIT 1)"]
+    for r in range(1, ROUNDS + 1):
+        ctes.append(f"s{r} AS MATERIALIZED (SELECT * FROM s{r - 1} UNION ALL SELECT * FROM (SELECT {r}, -ln({draw(r)}) / far, id, v "
+                    f"FROM (SELECT p.id, p.v, p.len2, min({d2}) AS far FROM p, s{r - 1} c GROUP BY ALL) "
+                    f"WHERE far > 1e-9 * len2 ORDER BY 2, id LIMIT {2 * K}))")
+    ctes.append(f"s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r, key, id) AS c, v FROM s{ROUNDS} "
+                "QUALIFY row_number() OVER (PARTITION BY v ORDER BY r, key, id) = 1)")
+    ctes.append(f"w AS MATERIALIZED (SELECT c, count(*) AS n FROM (SELECT p.id, arg_min(c.c, ({d2}, c.c)) AS c FROM p, s c "
+                "GROUP BY p.id) GROUP BY c)")
+    ctes.append("g1 AS MATERIALIZED (SELECT 1 AS turn, c, v FROM s JOIN w USING (c) ORDER BY n DESC, c LIMIT 1)")
+    for t in range(2, K + 1):
+        ctes.append(f"g{t} AS MATERIALIZED (SELECT * FROM g{t - 1} UNION ALL SELECT * FROM (SELECT {t}, p.c, p.v FROM s p "
+                    f"JOIN w ON w.c = p.c, g{t - 1} c GROUP BY p.c, p.v, n HAVING n * min({d2}) > 0 "
+                    f"ORDER BY n * min({d2}) DESC, p.c LIMIT 1))")
+    ctes.append(f"c0 AS MATERIALIZED (SELECT turn AS c, v FROM g{K})")
+    for t in range(1, STEPS + 1):
+        ctes.append(f"a{t} AS MATERIALIZED (SELECT p.id, p.v, arg_min(c.c, ({d2}, c.c)) AS c FROM p, c{t - 1} c GROUP BY p.id, p.v)")
+        ctes.append(f"c{t} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v, n FROM (SELECT c, list(x ORDER BY pos) AS v, max(n) AS n "
+                    f"FROM (SELECT c, pos, avg(x) AS x, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos "
+                    f"FROM a{t}) GROUP BY ALL) GROUP BY c) m RIGHT JOIN (SELECT c, v FROM c{t - 1}) o USING (c))")
+    ctes.append(f"o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY coalesce(n, 0) DESC, v) - 1 AS cluster, v FROM c{STEPS})")
+    ctes.append(f"z AS MATERIALIZED (SELECT p.id, arg_min(c.cluster, ({d2}, c.cluster)) AS cluster FROM p, o c GROUP BY p.id)")
+    return f"WITH {v.F2}, " + ", ".join(ctes) + (
+        " SELECT id AS review_id, cluster, count(*) OVER (PARTITION BY cluster) AS n FROM z")
+
+
+@query("kmeans_topics", _kmeans_sql())
 def kmeans_topics(spark, d):
-    """Every review lies in one of the 20 clusters; which one a review takes has no SQL form."""
-    placed = topics.kmeans_topics(v.vector_reviews(spark, d))
-    return shaped(placed.agg(F.count("cluster").alias("n_rows"), F.countDistinct("review_id").alias("n_reviews"),
-                             F.countDistinct("cluster").alias("n_clusters"),
-                             F.count_if(~F.col("cluster").between(0, 19)).alias("n_outside")))
+    """Every review with its cluster and the cluster's size."""
+    placed = topics.kmeans_topics(v.vector_reviews(spark, d), K, seed=SEED, max_iter=STEPS).select("review_id", "cluster")
+    return shaped(placed.join(topics.cluster_sizes(placed), "cluster"))
 
 
 @query("cluster_sizes", f"WITH {v.F2} SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM f2 GROUP BY label")

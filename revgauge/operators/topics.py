@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revgauge.functions import text, vectors
+from revgauge.operators import kmeans
 from revgauge.session import small_rows
 
 MAX_CLUSTERS = 10_000
 
 
-def kmeans_topics(df: DataFrame, k: int = 20, vector: str = "embedding", seed: int = 42,
-                  max_iter: int = 20) -> DataFrame:
-    """Rows with their cluster number. Cluster numbers carry no meaning across runs."""
-    points = df.where(F.col(vector).isNotNull()).withColumn("_features", array_to_vector(F.col(vector)))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(points)
-    return model.transform(points).drop("_features")
+def kmeans_topics(df: DataFrame, k: int = 20, vector: str = "embedding", seed: int = 42, max_iter: int = 20,
+                  id_column: str = "review_id") -> DataFrame:
+    """Rows with their cluster number; 0 is the largest cluster. Equal rows give equal numbers, however they are split.
+
+    Rows whose vector is missing or not finite are left out; fewer different vectors than ``k`` give fewer clusters.
+    """
+    return kmeans.assign(df, kmeans.fit(df, k, vector, id_column, seed, max_iter), vector)
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,77 +25,136 @@ CLASSES, DEPTH = 64, 3
 FILLER = 0.06
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
-#: Texts of these characters split at blanks as the tokenizer itself splits; any other text is encoded whole.
+#: A text without these characters splits at blanks as the tokenizer itself splits; any other text is encoded whole.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧]|<\\|")
-
-
 #: Words that are letters and then marks: the two parts are encoded apart.
-PARTS = re.compile("([a-zà-öø-ɏ]*)([!-&(-/:-@\\[-`{-~]*)")
+PARTS = "^(?P<letters>[a-zà-öø-ɏ]*)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+#: How a tokenizer must fold and split texts for its words to be encoded apart.
+FOLDED = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 class Encoder:
-    """Token ids of texts. Blank-separated words are encoded once and remembered; no merge crosses a blank."""
+    """Token ids of texts. Blank-separated words are encoded once and remembered; no merge crosses a blank.
+
+    This holds for tokenizers that fold case and blanks and split as ``FOLDED`` and ``SPLIT`` say, which is read from the
+    tokenizer's file; texts of any other tokenizer are encoded whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
+        setting = json.loads(self.tokenizer.to_str())
+        suffix = setting["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and setting["normalizer"] == FOLDED and setting["pre_tokenizer"] == SPLIT and (
+            setting["model"]["type"] == "BPE" and not setting["model"]["dropout"])
+        # the model alone: it takes parts of words, in signs that stand for bytes, and closes each with the suffix
+        self.parts = Tokenizer(self.tokenizer.model)
+        self.parts.pre_tokenizer = WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]   # bytes that stand for themselves
         others = iter(range(256, 512))
-        self.byte_sign = {b: chr(b) if b in shown else chr(next(others)) for b in range(256)}
-        self._forget()
-
-    def _part(self, part: str) -> list[int]:
-        signs = part if part.isascii() else "".join(map(self.byte_sign.__getitem__, part.encode()))
-        return [t.id for t in self.merge(signs)]
-
-    def _word(self, word: str) -> list[int]:
-        if (m := PARTS.fullmatch(word)) is None:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        return [i for part in m.groups() if part for i in self._marks.setdefault(part, None) or self._remember(part)]
-
-    def _remember(self, part: str) -> list[int]:
-        ids = self._marks[part] = self._part(part)
-        return ids
-
-    def _forget(self) -> None:
+        self.sign = {b: b if b in shown else next(others) for b in range(256)}
+        self.sign[32] = 32   # parts are divided by it
         self.place: dict[str, int] = {}
-        self._marks: dict[str, list[int] | None] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = [self._word(w) for w in words]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, length.sum())
+        self.start, self.length, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts that are not empty, end to end, and how many each has."""
+        text = parts.to_pylist()
+        lines = [" ".join(text[a:a + 512]).encode().decode("latin-1").translate(self.sign) for a in range(0, len(text), 512)]
+        ids = [np.array(e.ids, np.uint32) for e in self.parts.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) != len(text):
+            raise ValueError("the tokenizer does not close every part of a word")
+        return flat, np.diff(ends, prepend=0)
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, end to end, and how many each has: those of its letters, then those of its marks."""
+        found = pc.extract_regex(words, PARTS)
+        odd = np.flatnonzero(np.asarray(found.is_null()))
+        both = pa.concat_arrays([pc.fill_null(pc.struct_field(found, k), "") for k in (0, 1)])
+        coded = both.dictionary_encode()
+        known = np.asarray(pc.binary_length(coded.dictionary)) > 0
+        flat, own = self._part_ids(coded.dictionary.filter(pa.array(known)))
+        n = np.zeros(len(known), np.int64)
+        n[known] = own
+        first = np.cumsum(n) - n
+        at = np.asarray(coded.indices).reshape(2, -1).T.ravel()
+        whole = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words.take(pa.array(odd)).to_pylist()]
+        # words that are not letters and marks have empty parts: their ids stand behind all others and are taken last
+        length, begin = n[at].reshape(-1, 2), first[at].reshape(-1, 2)
+        length[odd, 0] = [len(w) for w in whole]
+        begin[odd, 0] = len(flat) + np.cumsum(length[odd, 0]) - length[odd, 0]
+        flat = np.concatenate([flat, *(np.array(w, np.uint32) for w in whole)])
+        return _spans(flat, begin.ravel(), length.ravel()), length.sum(axis=1)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        flat, length = self._word_ids(words)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool[:self.used], np.zeros(len(self.pool) + len(flat), np.uint32)))
         self.pool[self.used:self.used + len(flat)] = flat
-        self.place.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
+        at = np.arange(len(self.start), len(self.start) + len(words))
+        self.place.update(zip(words.to_pylist(), at.tolist(), strict=True))
         self.start = np.concatenate((self.start, self.used + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
+        self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int64)))
         self.used += len(flat)
+        return at
+
+    def _forget(self) -> None:
+        """Keeps the half of the words that was used most."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:REMEMBERED // 2])
+        words = list(self.place)
+        self.place = {words[p]: i for i, p in enumerate(kept.tolist())}
+        start, self.length, self.uses = self.start[kept], self.length[kept], self.uses[kept]
+        self.pool = _spans(self.pool, start, self.length)
+        self.used = len(self.pool)
+        self.start = np.cumsum(self.length) - self.length
 
     def encode(self, documents: list[str]) -> list[np.ndarray]:
-        words = [None if PLAIN.search(text) else text.lower().split() for text in documents]
-        every = set(itertools.chain.from_iterable(w for w in words if w))
-        new = every - self.place.keys()
-        if len(self.place) + len(new) > REMEMBERED and self.place:
+        plain = [self.by_word and not PLAIN.search(text) for text in documents]
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(documents, plain, strict=True) if not p],
+                                                      add_special_tokens=False))
+        if len(self.place) > REMEMBERED:
             self._forget()
-            new = every
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for text, own in zip(documents, words, strict=True):
-            if own is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
-            n = self.length[at]
-            out.append(self.pool[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return out
+        split = pc.ascii_split_whitespace(pa.array([t.lower() for t, p in zip(documents, plain, strict=True) if p],
+                                                   pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        place = np.fromiter(map(self.place.get, words.to_pylist(), itertools.repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = self._learn(words.take(pa.array(new)))
+        indices = np.asarray(coded.indices)
+        self.uses[place] += np.bincount(indices, minlength=len(words))
+        at = place[indices]
+        n = self.length[at]
+        ids = _spans(self.pool, self.start[at], n)
+        last = np.concatenate(([0], np.cumsum(n)))[np.cumsum(np.asarray(split.value_lengths()))].tolist()
+        own = (ids[a:b] for a, b in zip([0, *last[:-1]], last))
+        return [next(own) if p else np.array(next(whole).ids, np.uint32) for p in plain]
+
+
+def _spans(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of a pool that begin at ``start``, end to end."""
+    return pool[np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python process: what one task learned about words serves the next."""
+    return Encoder(path)
 
 
 def combinations(classes: int = CLASSES, depth: int = DEPTH) -> np.ndarray:
@@ -177,7 +238,7 @@ def _fill(sequence: list, left: list, window: int) -> None:
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoder, ways = Encoder(path), combinations()
+    known, ways = encoder(path), combinations()
     number = TaskContext.get().partitionId() << 40
     block: list[tuple] = []
     held = 0
@@ -209,7 +270,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int, w
             part.append(text.decode())
             size += len(text)
             if size >= 1 << 22 or k == len(docs) - 1:
-                for i, ids in enumerate(encoder.encode(part), k + 1 - len(part)):
+                for i, ids in enumerate(known.encode(part), k + 1 - len(part)):
                     block.append((docs[i], np.append(ids, np.uint32(end)).astype(np.uint32)))
                     held += len(ids) + 1
                 part, size = [], 0

@@ -109,13 +109,21 @@ def test_packing(spark, sf):
     assert packing.pack(frame(spark, []), tokenizer_path()).collect() == []
 
 
-def test_encoder():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder(monkeypatch, name):
+    """Ids of the tokenizer itself, also of one that keeps case and blanks, and after words were forgotten."""
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = ["", "I'll don't 's 't", "a\x1cb\x85c\xa0d", "İ Ǆ ß ﬁ é É Ω ΟΔΟΣ", "<|endoftext|> <|x", "½ ²3 x₂ __a_b-c", "…“q” ‘r’—s", "\n\n", "ab " * 9]
-    encoder, whole = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    for _ in range(2):
+    texts = ["", "I'll don't 's 't", "a\x1cb\x85c\xa0d", "İ Ǆ ß ﬁ é É Ω ΟΔΟΣ", "<|endoftext|> <|x", "½ ²3 x₂ __a_b-c", "…“q” ‘r’—s", "\n\n", "ab " * 9,
+             " Two  Words,\tÀé... élan!?", "a1b2 c~d x's", "ÀÉ ſ ß ÿ Þ"]
+    path = public_tokenizers.path(name)
+    encoder, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.by_word == (name == "word_bpe_49k.json")
+    for kept in (1000, 4, 4, 1000):
+        monkeypatch.setattr(packing, "REMEMBERED", kept)
         assert [list(i) for i in encoder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert list(encoder.encode(["only new1 words"])[0]) == whole.encode("only new1 words", add_special_tokens=False).ids
 
 
 def test_nnls():

@@ -9,24 +9,69 @@ from pyspark.sql import functions as F
 
 from revgauge import fixed_values as fv
 from revgauge.functions import text
+from revgauge.session import small_rows, via_table
 
 
-def ngram_counts(df: DataFrame, tokens, n: int = 1) -> DataFrame:
-    """Occurrences of each n-gram over all rows of an array column; counted per task before the shuffle."""
-    return (df.select(F.explode(text.ngrams(tokens, n)).alias("ngram"))
-            .groupBy("ngram").agg(F.count(F.lit(1)).alias("n")))
+#: n-grams that a task's summary follows, and the tasks that merge summaries before the last one.
+TRACKED, MERGE = 196_608, 64
+#: Candidates, and characters of them, that go to every task; beyond either all n-grams are counted.
+CANDIDATES, CHARACTERS = 50_000, 1 << 24
+
 
+def _ngram_rows(df: DataFrame, tokens, n: int) -> DataFrame:
+    return df.select(F.explode(text.ngrams(tokens, n)).alias("ngram"))
 
-def _top(counts: DataFrame, top_n: int) -> DataFrame:
-    return counts.orderBy(F.desc("n"), "ngram").limit(top_n)
+
+def ngram_counts(df: DataFrame, tokens, n: int = 1) -> DataFrame:
+    """Occurrences of each n-gram over all rows of an array column; counted per task before the shuffle."""
+    return _counts(_ngram_rows(df, tokens, n))
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def heavy_candidates(rows: DataFrame, top_n: int, tracked: int = TRACKED) -> list[str] | None:
+    """n-grams among which the ``top_n`` most frequent are for certain, or None if the summaries cannot tell.
+
+    Each task keeps a frequent-items summary, and only summaries travel. No estimate is off by more than
+    3.5 / ``tracked`` of all occurrences, and what a summary does not follow is no more frequent than that. So if the
+    ``top_n``-th best estimate is above twice this error, all true winners are followed and lie within twice the error
+    below it.
+    """
+    parts = (rows.where("ngram is not null").withColumn("part", F.spark_partition_id() % MERGE).groupBy("part")
+             .agg(F.expr(f"approx_top_k_accumulate(ngram, {tracked})").alias("summary"), F.count(F.lit(1)).alias("total")))
+    # by a constant key: no rows give no summary
+    whole = parts.withColumn("all", F.lit(True)).groupBy("all").agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"),
+                                                                 F.sum("total").alias("total"))
+    items = via_table(whole.select("total", F.expr(f"inline(approx_top_k_estimate(summary, {tracked}))")), "summary")
+    best = items.orderBy(F.desc("count")).limit(top_n).collect()
+    error = best[0].total * 3.5 / tracked if best else 0
+    if len(best) < top_n or best[-1]["count"] <= 2 * error:
+        return None
+    near = items.where(F.col("count") >= best[-1]["count"] - 2 * error)
+    size = near.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("item")).alias("length")).first()
+    if size.n > CANDIDATES or size.length > CHARACTERS:
+        return None
+    return [r["item"] for r in small_rows(near.select("item"), CANDIDATES, "candidates")]
+
+
+def _top(rows: DataFrame, top_n: int, tracked: int = TRACKED) -> DataFrame:
+    """The most frequent n-grams and their exact counts. Where summaries name the candidates, only these are counted, so
+    that the corpus's n-grams are not shuffled; else all are."""
+    candidates = heavy_candidates(rows, top_n, tracked) if top_n > 0 else None
+    if candidates:
+        few = rows.sparkSession.createDataFrame([(c,) for c in candidates], "ngram string")
+        rows = rows.join(F.broadcast(few), "ngram", "left_semi")
+    return _counts(rows).orderBy(F.desc("n"), "ngram").limit(top_n)
 
 
 def top_tokens(df: DataFrame, column: str = "review_text_clean", top_n: int = 40) -> DataFrame:
-    return _top(ngram_counts(df, text.tokenize_simple(column)), top_n).withColumnRenamed("ngram", "token")
+    return _top(_ngram_rows(df, text.tokenize_simple(column), 1), top_n).withColumnRenamed("ngram", "token")
 
 
 def top_bigrams(df: DataFrame, column: str = "review_text_clean", top_n: int = 40) -> DataFrame:
-    return _top(ngram_counts(df, text.tokenize_simple(column), 2), top_n).withColumnRenamed("ngram", "bigram")
+    return _top(_ngram_rows(df, text.tokenize_simple(column), 2), top_n).withColumnRenamed("ngram", "bigram")
 
 
 def active_stopwords(exclude: bool, custom: Sequence[str] | None = None) -> list[str]:
@@ -44,7 +89,7 @@ def lexical_top_ngrams(df: DataFrame, column: str = "review_text_clean", n: int
     tokens = text.tokenize_simple(column)
     if words:
         tokens = F.filter(tokens, lambda t: ~t.isin(words))
-    return _top(ngram_counts(df, tokens, n), top_n)
+    return _top(_ngram_rows(df, tokens, n), top_n)
 
 
 def stopword_union(spark: SparkSession) -> DataFrame:

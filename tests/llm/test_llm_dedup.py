@@ -194,6 +194,25 @@ def test_sentences_repeated_row(spark):
         assert sorted((r.doc_id, r.kept) for r in got) == sorted(rows)
 
 
+def plain_runs(parts):
+    """Shortest runs of two sentences and ten words or more from each sentence on, and back from each."""
+    heavy = [max(len(p.split()), len(b"".join(p.split())) // 10) for p in parts]
+    fits = {(i, j) for i in range(len(parts)) for j in range(i + 2, min(i + 40, len(parts)) + 1) if sum(heavy[i:j]) >= 10}
+    ahead = {min(r for r in fits if r[0] == i) for i in {r[0] for r in fits}}
+    back = {max(r for r in fits if r[1] == j) for j in {r[1] for r in fits}}
+    return sorted(ahead | back)
+
+
+def test_short_sentences(spark):
+    """Passages of short sentences, and of text without blanks, go whole, their last sentences too."""
+    short = "Go on. See it. Take two. Now stop. Wait a bit. Then run. So be it. Done now. Yes."
+    blank = "これは長い文章の一つです。二つ目の文もここにあります。三つ目の文で終わりにします。"
+    rows = [(1, f"This one opens the first text here. {short} Own end of one."), (2, f"Another opening stands in this one. {short} Two ends."),
+            (3, "Go on. See it. Nothing else is shared by this text at all."), (4, blank), (5, "前の文。" + blank + "後の文。")]
+    got = {r.doc_id: r.kept for r in sentences.drop_repeated_spans(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Another opening stands in this one. Two ends.", 3: rows[2][1], 4: blank, 5: "前の文。後の文。"}
+
+
 def test_sentence_query(spark, sf):
     rows = sorted(texts(spark, sf))
     seen, want = {}, {}
@@ -202,10 +221,10 @@ def test_sentence_query(spark, sf):
         ends = sentences.split(b)
         parts = [b[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
         drop = set()
-        for i in range(len(parts) - 1):
-            run = [b" ".join(p.lower().split()) for p in parts[i:i + 2]]
-            if sum(len(p.split()) for p in run) >= 10 and seen.setdefault(tuple(run), (d, i)) != (d, i):
-                drop |= {i, i + 1}
+        for i, j in plain_runs(parts):
+            run = [b" ".join(p.lower().split()) for p in parts[i:j]]
+            if seen.setdefault(tuple(run), (d, i)) != (d, i):
+                drop |= {*range(i, j)}
         want[d] = (len(parts), len(drop), b"".join(p for i, p in enumerate(parts) if i not in drop).decode())
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.kept) for r in QUERIES["op4_sentence_spans"](spark, sf).collect()}
     assert got == want

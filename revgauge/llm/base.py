@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,14 @@ def crc_mod(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
+def salted_join(rows: DataFrame, small: DataFrame, key: str, by: str, salts: int = 8) -> DataFrame:
+    """Inner join on ``key`` of which ``small`` has one row each: the rows of a key meet it in up to ``salts`` tasks,
+    dealt out by a hash of column ``by``."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def byte_columns(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column laid end to end, and the offset at which each row starts (null: empty)."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -52,6 +61,20 @@ def texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
         yield data[a:b]
 
 
+def rows_where(batches: Iterator[pa.RecordBatch], judge: Callable, ask: Callable, keep: Callable) -> Iterator[pa.RecordBatch]:
+    """The rows of which a verdict is good, with all their columns: ``judge`` answers each batch of questions that
+    ``ask`` makes of a batch with one batch of verdicts, and ``keep`` turns these into a mask."""
+    waiting: deque[pa.RecordBatch] = deque()
+
+    def asked() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            waiting.append(batch)
+            yield ask(batch)
+
+    for verdicts in judge(asked()):
+        yield waiting.popleft().filter(keep(verdicts))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

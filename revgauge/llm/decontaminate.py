@@ -7,10 +7,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgauge.llm.base import texts
+from revgauge.llm.base import rows_where, texts
 
 #: Bytes of item texts in one automaton; a larger test set is scanned in several blocks.
 BLOCK = 8 << 20
@@ -111,3 +112,27 @@ def passages(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "tex
     for block in [*_blocks(slim)] or [[]]:
         found = found.select("doc_id", "text", "spans", "items").mapInArrow(partial(_scan, items=block, size=size), schema)
     return found.select("doc_id", "n_words", "spans", "items")
+
+
+def _clean(batches: Iterator[pa.RecordBatch], items: list, size: int, at: int) -> Iterator[pa.RecordBatch]:
+    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nothing = pa.nulls(batch.num_rows)
+        return pa.record_batch([batch.column(at), batch.column(at), nothing, nothing], ["doc_id", "text", "spans", "items"])
+
+    return rows_where(batches, partial(_scan, items=items, size=size), ask,
+                      lambda found: pc.equal(pc.list_value_length(found.column(2)), 0))
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", item_text: str = "text",
+          item_id: str = "item_id") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in whose text ``passages`` finds nothing.
+
+    Each row is judged by its own text, so rows that share an id or have none are told apart; no shuffle. Null texts and
+    repeated rows stay; no items leave all rows; an empty table gives no rows. Blocks of items are scanned in turn, each
+    over the rows that are left.
+    """
+    slim = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
+    left = docs
+    for block in _blocks(slim):
+        left = left.mapInArrow(partial(_clean, items=block, size=size, at=docs.columns.index(text)), docs.schema)
+    return left

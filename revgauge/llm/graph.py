@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgauge.llm.base import stored
+from revgauge.llm.base import salted_join, stored
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node of its component.
 
     Alternating large-star and small-star steps: every step only relinks a node's neighbours to the smallest of them,
-    so the number of edges never grows, a hub's edges are combined before they are shuffled, and a chain of n nodes
-    settles in about log(n) rounds. Each round is written to the shared scratch folder. Loops and repeated edges are
+    so the number of edges never grows and a chain of n nodes settles in about log(n) rounds. A hub's edges are combined
+    before they are shuffled, and meet the smallest of them in several tasks. Each round is written to the shared scratch folder. Loops and repeated edges are
     harmless, rows with a null end are ignored, no edges give no rows.
     """
     hi, lo = F.greatest(left, right), F.least(left, right)
@@ -22,9 +22,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = salted_join(large, least, "u", "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         changed = _mark(after)
         if changed == mark:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revgauge.llm.base import rows_where
+
 #: Characters worked on at once; longer texts are counted in pieces.
 PIECE = 1 << 20
 #: Most languages that can be told apart; their profiles go to every task.
@@ -130,6 +133,12 @@ def predict(docs: DataFrame, profile: DataFrame, top: int = 300, text: str = "te
     a text without letters, and any text if no language was learned give ``und`` and 0. Ties go to the first language by
     name; repeated rows are kept; an empty table gives no rows; other columns are ignored.
     """
+    kind = dict(docs.dtypes)[doc_id]
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        _judge(profile, top), f"doc_id {kind}, lang_pred string, score double")
+
+
+def _judge(profile: DataFrame, top: int) -> Callable:
     rows = profile.collect()   # at most LANGUAGES * top rows
     langs = sorted({r.lang for r in rows})
     known = np.unique(np.array([r.gram for r in rows], np.int64))
@@ -137,6 +146,20 @@ def predict(docs: DataFrame, profile: DataFrame, top: int = 300, text: str = "te
     place = {name: i for i, name in enumerate(langs)}
     for r in rows:
         ranks[place[r.lang], np.searchsorted(known, r.gram)] = r["rank"]
-    kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        partial(_predict, langs=langs, known=known, ranks=ranks, top=top), f"doc_id {kind}, lang_pred string, score double")
+    return partial(_predict, langs=langs, known=known, ranks=ranks, top=top)
+
+
+def _identified(batches: Iterator[pa.RecordBatch], judge: Callable, at: int) -> Iterator[pa.RecordBatch]:
+    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(at), batch.column(at)], ["doc_id", "text"])
+
+    return rows_where(batches, judge, ask, lambda found: pc.not_equal(found.column(1), UNKNOWN))
+
+
+def identified(docs: DataFrame, profile: DataFrame, top: int = 300, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text ``predict`` gives a language.
+
+    Each row is judged by its own text, so rows that share an id or have none are told apart; no shuffle. Null and
+    letterless texts go, and all rows if no language was learned; repeated rows stay; an empty table gives no rows.
+    """
+    return docs.mapInArrow(partial(_identified, judge=_judge(profile, top), at=docs.columns.index(text)), docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgauge.llm.base import shuffle_width, signed, stored, texts
+from revgauge.llm.base import salted_join, shuffle_width, signed, stored, texts
 from revgauge.llm.graph import components
 
 BITS = 64
@@ -184,10 +184,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     columns are ignored. A null doc_id takes the class of its text, and null only if no row of the class has an id.
     """
     marked = stored(fingerprints(docs, text, doc_id, width, seed), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes, within, bucket))
-    classed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classed = classed.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classed, "fp").select(
+    classed = classes(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), within, bucket)
+    return marked.join(classed.withColumnRenamed("least", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classes(nodes: DataFrame, within: int, bucket: int) -> DataFrame:
+    """(fp, least) for (fp, first), one row per fingerprint: the least ``first`` of all fingerprints it is connected to.
+
+    A fingerprint without links is its own class. The members of a linked class meet its least in several tasks,
+    so that the largest class is not one task's work.
+    """
+    roots = components(links(nodes, within, bucket))
+    classed = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "root"), "classes")
+    linked = classed.where("root is not null")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    return salted_join(linked, least, "root", "fp").select("fp", "least").unionByName(
+        classed.where("root is null").select("fp", F.col("first").alias("least")))
+
+
+def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", within: int = 4, width: int = 4,
+                  seed: int = 42, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, one of each class of ``near_duplicates``: the one with the
+    smallest id; rows without an id come last, rows that share one are ordered by a hash of the text.
+
+    Rows are numbered as they are stored, so of rows with the same id and text one stays too. Every row belongs to a class,
+    texts that are null, empty or without words to that of fingerprint zero; an empty table gives no rows.
+    """
+    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")), "rows")
+    own = F.col("row")
+    order = F.struct(own[doc_id].isNull().alias("last"), own[doc_id].alias("id"), F.xxhash64(own[text]).alias("h"), F.col("n"))
+    marked = stored(fingerprints(numbered.select(order.alias("first"), own[text].alias("text")), "text", "first", width, seed),
+                    "fingerprints").withColumnRenamed("doc_id", "first")
+    classed = classes(marked.groupBy("fp").agg(F.min("first").alias("first")), within, bucket)
+    winners = classed.select(F.col("least.n").alias("n")).distinct()
+    return numbered.join(winners, "n", "left_semi").select("row.*")

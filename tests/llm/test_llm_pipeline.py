@@ -49,3 +49,49 @@ def test_stages_keep_columns(spark, sf):
         assert not left & {10**6, 10**6 + 1, 10**6 + 2}
         assert (None in left) == bool(docs.count())
     assert re.fullmatch(r"\w+", corpus_pipeline.STAGES[0][0]) and len(corpus_pipeline.STAGES) == 5
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+WORDS = [f"w{i}q" for i in range(400)]
+
+
+def odd(spark, rows):
+    """Documents with columns named like those of the operators."""
+    names = "kept string, spans long, id long, row long, first string, fp long, n long, lang_pred string, items string"
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), "k", 1, 2, 3, "f", 4, 5, "l", "i") for d, t in rows],
+                                 f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+
+
+def left(name, docs, sf):
+    now = stage(name)(docs.sparkSession, docs, sf)
+    assert now.columns == docs.columns
+    return sorted(((r.doc_id, r.text) for r in now.collect()), key=lambda r: (r[0] is None, r))
+
+
+def test_rows_are_judged_by_their_own_text(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    a, b = " ".join(WORDS[:100]), " ".join(WORDS[100:200])
+    docs = odd(spark, [(1, a), (1, "999"), (None, "123"), (None, b), (2, None), (3, a), (3, a)])
+    assert left("language_id", docs, sf) == [(1, a), (3, a), (3, a), (None, b)]
+    docs = odd(spark, [(1, a), (1, item), (None, item), (None, b), (2, None), (3, "")])
+    assert left("decontamination", docs, sf) == [(1, a), (2, None), (3, ""), (None, b)]
+
+
+def test_one_row_of_each_class_stays(spark, sf):
+    a, b, c = (" ".join(WORDS[k:k + 100]) for k in (0, 100, 200))
+    docs = odd(spark, [(7, a), (7, a), (None, a), (5, b), (5, c), (None, c), (None, c + " end"), (9, ""), (8, None)])
+    assert left("near_dedup", docs, sf) == [(5, b), (5, c), (7, a), (8, None)]
+    docs = odd(spark, [(None, a), (None, a), (None, b)])
+    assert left("near_dedup", docs, sf) == [(None, a), (None, b)]
+
+
+def test_passages_of_rows_that_share_an_id(spark, sf):
+    a, b, c, shared = (" ".join(WORDS[k:k + 100]) for k in (0, 100, 200, 300))
+    docs = odd(spark, [(1, a + shared), (1, b), (2, shared + c), (3, "ok"), (None, shared)])
+    assert left("suffix_array_dedup", docs, sf) == [(1, a), (1, b), (2, shared + c), (3, "ok"), (None, shared)]
+    docs = odd(spark, [(1, a + shared), (2, shared + c), (3, shared)])
+    assert left("suffix_array_dedup", docs, sf) == [(1, a + shared), (2, c)]
+    assert left("suffix_array_dedup", docs.limit(0), sf) == []

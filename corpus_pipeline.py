@@ -14,32 +14,46 @@ from revgauge.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: null texts and texts without a letter."""
-    learned = stored(langid.profiles(docs.where(crc_mod() != 2)), "profiles")
-    rejected = langid.predict(docs, learned).where(F.col("lang_pred") == langid.UNKNOWN).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents in which no language can be told: null texts and texts without a letter. Each row is judged by
+    its own text, also where ids repeat or are null."""
+    return langid.identified(docs, stored(langid.profiles(docs.where(crc_mod() != 2)), "profiles"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest doc_id."""
-    later = simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group of near-duplicates: the one with the smallest doc_id, rows without an id last; of
+    rows that share an id one by a hash of the text."""
+    return simhash.first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every byte covered by a 100-byte string that starts earlier in the corpus out of the texts; a character of
-    which a part is cut goes as a whole. Documents of which nothing is left go."""
-    cut = suffix.repeated_spans(docs, as_text=True).where(F.size("spans") > 0).select("doc_id", "kept").dropDuplicates(["doc_id"])
-    left = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept", "text"))
-    left = left.where("kept is null or length(trim(kept)) > 0")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    which a part is cut goes as a whole. Documents of which nothing is left go.
+
+    Texts are ordered by doc_id. Rows that share one come after all others, each a text of its own, ordered by id and a
+    hash of the text; rows without an id are neither compared nor cut."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    shared = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    if not shared.isEmpty():
+        rows = stored(_own_ids(rows, shared.select("id")), "rows")
+    cut = suffix.repeated_spans(rows, doc_id="id", as_text=True).where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), "kept")
+    left = rows.join(cut, "id", "left").where("kept is null or length(trim(kept)) > 0")
+    row, text = F.col("row"), F.coalesce("kept", "text")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return left.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
+
+
+def _own_ids(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` with a new id, above all others, for each row whose id is among ``shared``."""
+    last = rows.agg(F.max("id").alias("last")).scalar()
+    h = F.xxhash64("text")
+    late = rows.join(shared, "id", "left_semi").repartitionByRange("id", h).sortWithinPartitions("id", h)
+    late = late.withColumn("id", last + 1 + F.monotonically_increasing_id())
+    return rows.join(shared, "id", "left_anti").unionByName(late)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a test item."""
-    found = decontaminate.passages(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents that hold ten consecutive words of a test item. Each row is judged by its own text."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,10 @@ BLANKS = "[ \\t-\\r]+"
 #: Bits of a window's sort key that hold its place; longer texts take 31.
 PLACE_BITS = 24
 FEATURES = ("f_words", "f_word_length", "f_symbols", "f_dup_lines", "f_repeats")
+#: Quantiles of an estimate are off by one in so many ranks at most.
+RANKS = 1000
+#: Puts a share of 30 % repeated lines or words alone, in texts that mostly have none, at the cut of ``quality_rules``.
+SHARE = 18.5
 #: Smallest standard deviation of each feature in an estimate: many texts have no symbols or repeats at all.
 FLOOR = (0.25, 0.05, 0.5, 1.0, 1.0)
 
@@ -67,13 +71,14 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def features(df: DataFrame) -> DataFrame:
-    """Counts on scales where ordinary texts lie about a centre."""
+    """Counts on scales where ordinary texts lie about a centre; shares of repeats stay in proportion, so that a large
+    one stands out by itself."""
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return df.withColumns({
         "f_words": F.log1p(F.col("n_words").cast("double")), "f_word_length": F.log(chars / words),
         "f_symbols": F.log1p(1000.0 * F.col("n_symbols") / chars),
-        "f_dup_lines": F.log1p(100.0 * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
-        "f_repeats": F.log1p(100.0 * F.col("n_repeat_words") / words)})
+        "f_dup_lines": SHARE * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
+        "f_repeats": SHARE * F.col("n_repeat_words") / words})
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -125,21 +130,23 @@ def robust_distances(df: DataFrame, names: tuple[str, ...], by: list[str], floor
 
     Two deterministic starts per group (medians with quartile scales; all its rows) are improved by concentration
     steps: the ``share`` of rows nearest to the estimate gives the next one. The start with the smaller determinant
-    wins. A group below ``least`` rows takes the rows of its first key (the language) as a whole, and if those are too
-    few, d2 is null. Null keys are a group. Only sums and quantile sketches are shuffled, so a group of any size is
+    wins. A group below ``least`` rows takes the estimate of all rows of its first key (the language), and if those are
+    too few, d2 is null. Null keys are a group. Only sums and quantile sketches are shuffled, so a group of any size is
     combined in the tasks that read it; rows meet estimates by a join on the group, which Spark splits where skewed.
     """
     d = len(names)
     df = df.withColumns({"_wide": F.to_json(F.struct(F.col(by[0]).alias("k"))), "_key": F.to_json(F.struct(*by))})
     sizes = df.groupBy("_key", "_wide").agg(F.count("*").alias("_n"))
-    wide = sizes.groupBy("_wide").agg(F.sum("_n").alias("_w"))
+    wide = sizes.groupBy("_wide").agg(F.sum("_n").alias("_w"), F.min("_n").alias("_fewest"))
+    large = F.col("_n") >= least
     pools = sizes.join(wide, "_wide").select(
-        "_key", F.when(F.col("_n") >= least, F.col("_key")).when(F.col("_w") >= least, F.col("_wide")).alias("_pool"))
+        "_key", F.when(large, F.col("_key")).when(F.col("_w") >= least, F.col("_wide")).alias("_pool"),
+        F.when(large & (F.col("_fewest") < least), F.col("_wide")).alias("_also"))
     df = stored(df.join(stored(pools.repartition(4), "pools"), "_key").drop("_key", "_wide"), "pooled")
-    base = df.where("_pool is not null").select("_pool", *names)
-    # both estimates of a group share its rows: a small group's own rows, or all rows of the language
+    # a row of a large group also stands for its language where that has small groups
+    base = df.select(F.explode(F.array_compact(F.array("_pool", "_also"))).alias("_pool"), *names)
     scale = 0.7413
-    rough = base.groupBy("_pool").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(names)])
+    rough = base.groupBy("_pool").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], RANKS).alias(f"q{i}") for i, x in enumerate(names)])
     rough = rough.select("_pool", F.lit(0).alias("start"), *[F.get(f"q{i}", F.lit(1)).cast("double").alias(f"m{i}") for i in range(d)], *[
         (F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) * scale, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}")
         for i in range(d) for j in range(i + 1)])
@@ -156,14 +163,14 @@ def robust_distances(df: DataFrame, names: tuple[str, ...], by: list[str], floor
     for _ in range(steps):
         placed = _distance(base.join(now.select(keep), "_pool"), names)
         # a stored table of known size: rows need not be dealt out by their group to meet it
-        cut = few(placed.groupBy("_pool", "start").agg(F.percentile_approx("d2", share, 1000).alias("cut")))
+        cut = few(placed.groupBy("_pool", "start").agg(F.percentile_approx("d2", share, RANKS).alias("cut")))
         inner = placed.join(cut, ["_pool", "start"]).where("d2 <= cut")
         now = few(_factor(inner.groupBy("_pool", "start").agg(*_moments(names)), floor, factor))
     best = now.groupBy("_pool").agg(F.min(F.struct("logdet", "start")).alias("b")).select(
         "_pool", F.col("b.start").alias("start"))
     final = few(now.join(best, ["_pool", "start"]).select(keep))
     placed = _distance(df.join(final, "_pool", "left"), names)
-    return placed.drop("_pool", "start", "logdet", *[f"m{i}" for i in range(d)], *[f"z{i}" for i in range(d)],
+    return placed.drop("_pool", "_also", "start", "logdet", *[f"m{i}" for i in range(d)], *[f"z{i}" for i in range(d)],
                        *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,18 +60,15 @@ def texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
         yield data[a:b]
 
 
-def rows_where(batches: Iterator[pa.RecordBatch], judge: Callable, ask: Callable, keep: Callable) -> Iterator[pa.RecordBatch]:
-    """The rows of which a verdict is good, with all their columns: ``judge`` answers each batch of questions that
-    ``ask`` makes of a batch with one batch of verdicts, and ``keep`` turns these into a mask."""
-    waiting: deque[pa.RecordBatch] = deque()
+def verdict(judge: Callable, ask: Callable, keep: Callable):
+    """A boolean column function of a text: ``judge`` answers each batch that ``ask`` makes of an array of texts with one
+    batch of findings, and ``keep`` turns these into booleans. Rows wait in the JVM; only texts go to Python."""
+    @F.arrow_udf("boolean")
+    def good(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in judge(ask(part) for part in parts):
+            yield keep(found)
 
-    def asked() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            waiting.append(batch)
-            yield ask(batch)
-
-    for verdicts in judge(asked()):
-        yield waiting.popleft().filter(keep(verdicts))
+    return good
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revgauge.llm.base import rows_where, texts
+from revgauge.llm.base import texts, verdict
 
 #: Bytes of item texts in one automaton; a larger test set is scanned in several blocks.
 BLOCK = 8 << 20
@@ -114,13 +114,9 @@ def passages(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "tex
     return found.select("doc_id", "n_words", "spans", "items")
 
 
-def _clean(batches: Iterator[pa.RecordBatch], items: list, size: int, at: int) -> Iterator[pa.RecordBatch]:
-    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nothing = pa.nulls(batch.num_rows)
-        return pa.record_batch([batch.column(at), batch.column(at), nothing, nothing], ["doc_id", "text", "spans", "items"])
-
-    return rows_where(batches, partial(_scan, items=items, size=size), ask,
-                      lambda found: pc.equal(pc.list_value_length(found.column(2)), 0))
+def _unknown(part: pa.Array) -> pa.RecordBatch:
+    nothing = pa.nulls(len(part))
+    return pa.record_batch([part, part, nothing, nothing], ["doc_id", "text", "spans", "items"])
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text", item_text: str = "text",
@@ -134,5 +130,7 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text",
     slim = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
     left = docs
     for block in _blocks(slim):
-        left = left.mapInArrow(partial(_clean, items=block, size=size, at=docs.columns.index(text)), docs.schema)
+        found_nothing = verdict(partial(_scan, items=block, size=size), _unknown,
+                                lambda found: pc.equal(pc.list_value_length(found.column(2)), 0))
+        left = left.where(found_nothing(text))
     return left

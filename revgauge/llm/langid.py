@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revgauge.llm.base import rows_where
+from revgauge.llm.base import verdict
 
 #: Characters worked on at once; longer texts are counted in pieces.
 PIECE = 1 << 20
@@ -149,17 +149,12 @@ def _judge(profile: DataFrame, top: int) -> Callable:
     return partial(_predict, langs=langs, known=known, ranks=ranks, top=top)
 
 
-def _identified(batches: Iterator[pa.RecordBatch], judge: Callable, at: int) -> Iterator[pa.RecordBatch]:
-    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(at), batch.column(at)], ["doc_id", "text"])
-
-    return rows_where(batches, judge, ask, lambda found: pc.not_equal(found.column(1), UNKNOWN))
-
-
 def identified(docs: DataFrame, profile: DataFrame, top: int = 300, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text ``predict`` gives a language.
 
     Each row is judged by its own text, so rows that share an id or have none are told apart; no shuffle. Null and
     letterless texts go, and all rows if no language was learned; repeated rows stay; an empty table gives no rows.
     """
-    return docs.mapInArrow(partial(_identified, judge=_judge(profile, top), at=docs.columns.index(text)), docs.schema)
+    good = verdict(_judge(profile, top), lambda part: pa.record_batch([part, part], ["doc_id", "text"]),
+                   lambda found: pc.not_equal(found.column(1), UNKNOWN))
+    return docs.where(good(text))

@@ -36,8 +36,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not shared.isEmpty():
         rows = stored(_own_ids(rows, shared.select("id")), "rows")
     cut = suffix.repeated_spans(rows, doc_id="id", as_text=True).where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), "kept")
-    left = rows.join(cut, "id", "left").where("kept is null or length(trim(kept)) > 0")
-    row, text = F.col("row"), F.coalesce("kept", "text")
+    left = rows.select("row", "id").join(cut, "id", "left").where("kept is null or length(trim(kept)) > 0")
+    row = F.col("row")
+    text = F.coalesce("kept", row["text"])
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return left.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 

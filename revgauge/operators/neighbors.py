@@ -2,9 +2,11 @@
 
 Angles between vectors obey the triangle inequality: a query at angle a from a pivot has no item within t of it among the
 items whose angle from that pivot is below a - t or above a + t. Items are dealt to the cell of their nearest pivot and,
-inside, to rings of equal angle; (cell, ring) is a unit. A query first meets its own unit; the k-th similarity found there
-is a bound, and then only the units that may hold something better are met. Units and their visitors are cut into tiles of
-bounded size, so neither a crowded unit nor a popular one lands in one task, and no query vectors are held by every task.
+inside, to rings of equal angle; (cell, ring) is a unit. Small units are put together to blocks, so that a query that has
+to meet everything is sent to some hundred blocks, not to thousands of units. A query first meets its own block; the k-th
+similarity found there is a bound, and then only the blocks with a unit that may hold something better are met. Blocks and
+their visitors are cut into tiles of bounded size, so neither a crowded block nor a popular one lands in one task, and no
+query vectors are held by every task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ MAX_PIVOTS = 1024
 #: Rings per radian.
 RINGS = 16
 #: Items, and visitors, of a tile.
-TILE = 2048
+TILE = 4096
+#: Small units are put together up to this share of all items, and up to a tile.
+SHARE = 64
+#: Rows whose angles or products a task holds at once.
+STEP = 512
 #: Similarities are compared to this many digits; equal ones are ordered by id.
 DIGITS = 9
 #: What is added to a bound for rounding: to a similarity, and to an angle.
@@ -62,22 +68,46 @@ def _place(pivots: Pivots, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return cell.astype(np.int32), ring.astype(np.int32), angles
 
 
-def _assign(batches: Iterator[pa.RecordBatch], pivots: Pivots) -> Iterator[pa.RecordBatch]:
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for k in range(0, b.num_rows, STEP):
+            yield b.slice(k, STEP)
+
+
+def _assign(batches: Iterator[pa.RecordBatch], pivots: Pivots) -> Iterator[pa.RecordBatch]:
+    for b in _steps(batches):
         cell, ring, _ = _place(pivots, unit_rows(matrix_of(b.column("v"), pivots.width)))
         yield pa.record_batch([*b.columns, pa.array(cell), pa.array(ring)], [*b.schema.names, "cell", "ring"])
 
 
+def _blocks(pivots: Pivots, counted: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(cell, ring, block): units of neighbouring cells together, as long as they are few items; a large unit is its own."""
+    near, place, last = pivots.units @ pivots.units.T, {-1: -1}, 0
+    for k in range(len(near)):   # from each pivot on to the nearest of those left
+        place[last] = k
+        near[:, last] = -np.inf
+        last = int(near[last].argmax())
+    most = min(TILE, sum(n for *_, n in counted) // SHARE)
+    out, block, held = [], 0, 0
+    for cell, ring, n in sorted(counted, key=lambda u: (place[u[0]], u[1])):
+        if held and held + n > most:
+            block, held = block + 1, 0
+        out.append((cell, ring, block))
+        held += n
+    return out
+
+
 def _visits(batches: Iterator[pa.RecordBatch], pivots: Pivots, units: np.ndarray, k: int, other_entity: bool) -> Iterator[pa.RecordBatch]:
-    """The units, but its own, that each query (item, owner, v, bound) has to meet."""
+    """The blocks, but its own, that each query (item, owner, v, block, bound) has to meet; one row per query."""
     ids, belongs = np.array(pivots.ids, object), np.array(pivots.owners, object)
-    cells, low, high = units[:, 0], units[:, 1] / RINGS, (units[:, 1] + 1) / RINGS
-    for b in batches:
+    cells, low, high, block = units[:, 0], units[:, 1] / RINGS, (units[:, 1] + 1) / RINGS, units[:, 2]
+    for b in _steps(batches):
         rows = unit_rows(matrix_of(b.column("v"), pivots.width))
-        cell, ring, angles = _place(pivots, rows)
+        _, _, angles = _place(pivots, rows)
         bound = b.column("bound").to_numpy(zero_copy_only=False)
+        own = b.column("block").to_numpy()
         items, owners = b.column("item").to_pylist(), b.column("owner").to_pylist()
-        query, unit = [], []
+        met = []
         for i in range(len(rows)):
             # pivots are items too: the k-th of those allowed is a bound as well
             allowed = ids != items[i]
@@ -93,15 +123,10 @@ def _visits(batches: Iterator[pa.RecordBatch], pivots: Pivots, units: np.ndarray
             meet = (low <= at + reach) & (high >= at - reach)
             meet[cells < 0] = least <= 0
             meet |= least < -1.0
-            meet &= ~((cells == cell[i]) & (units[:, 1] == ring[i]))
-            found = np.flatnonzero(meet)
-            query.append(np.full(len(found), i))
-            unit.append(found)
-        if query:
-            q, u = np.concatenate(query), np.concatenate(unit)
-            yield pa.record_batch([*(b.column(c).take(pa.array(q)) for c in ("item", "owner", "v")),
-                                   pa.array(units[u, 0].astype(np.int32)), pa.array(units[u, 1].astype(np.int32))],
-                                  ["item", "owner", "v", "cell", "ring"])
+            found = np.unique(block[meet])
+            met.append(found[found != own[i]].astype(np.int32))
+        yield pa.record_batch([*(b.column(c) for c in ("item", "owner", "v")), pa.array(met, pa.list_(pa.int32()))],
+                              ["item", "owner", "v", "met"])
 
 
 def _best(similar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +142,7 @@ def _best(similar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(take & (similar > -np.inf))
 
 
-TILE_KEYS = ["cell", "ring", "items", "queries"]
+TILE_KEYS = ["block", "items", "queries"]
 
 
 def _meet(batches: Iterator[pa.RecordBatch], width: int, k: int, other_entity: bool) -> Iterator[pa.RecordBatch]:
@@ -146,31 +171,36 @@ def _meet(batches: Iterator[pa.RecordBatch], width: int, k: int, other_entity: b
                 asked = pa.concat_tables(queries).combine_chunks()
                 units = unit_rows(matrix_of(asked.column("v").combine_chunks(), width))
             part = part.take(pc.sort_indices(part, [("item", "ascending")])).combine_chunks()
-            similar = np.round(units @ unit_rows(matrix_of(part.column("v").combine_chunks(), width)).T, DIGITS)
+            there = unit_rows(matrix_of(part.column("v").combine_chunks(), width)).T
+            same = []
             for column, always in (("item", True), ("owner", other_entity)):
                 if always:
                     codes = pa.concat_arrays([x.column(column).combine_chunks() for x in (asked, part)]).dictionary_encode().indices
                     codes = codes.fill_null(-1).to_numpy()
-                    q, i = codes[:len(units)], codes[len(units):]
+                    same.append((codes[:len(units)], codes[len(units):]))
+            for s in range(0, len(units), STEP):
+                similar = np.round(units[s:s + STEP] @ there, DIGITS)
+                for q, i in same:
                     # a row without an owner belongs to nobody: it may be near anything but itself
-                    similar[(q[:, None] == i[None, :]) & (q[:, None] >= 0)] = -np.inf
-            row, column = _best(similar, k)
-            yield pa.record_batch([asked.column("item").combine_chunks().take(pa.array(row)), part.column("item").combine_chunks().take(pa.array(column)),
-                                   pa.array(similar[row, column])], ["query_id", "item_id", "similarity"])
+                    similar[(q[s:s + STEP, None] == i[None, :]) & (q[s:s + STEP, None] >= 0)] = -np.inf
+                row, column = _best(similar, k)
+                yield pa.record_batch([asked.column("item").combine_chunks().take(pa.array(row + s)),
+                                       part.column("item").combine_chunks().take(pa.array(column)),
+                                       pa.array(similar[row, column])], ["query_id", "item_id", "similarity"])
 
 
-def _tiles(items: DataFrame, units: DataFrame, visits: DataFrame, width: int, k: int, other_entity: bool) -> DataFrame:
-    """Every visitor against every item of the units it visits, in tiles."""
+def _tiles(items: DataFrame, sizes: DataFrame, visits: DataFrame, width: int, k: int, other_entity: bool) -> DataFrame:
+    """Every visitor against every item of the blocks it visits, in tiles."""
     spark = items.sparkSession
-    visitors = visits.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("query_parts"))
-    # a row per unit: pivots times rings at most
-    parts = F.broadcast(units.select("cell", "ring", F.ceil(F.col("n") / TILE).cast("int").alias("item_parts")).join(
-        F.broadcast(visitors), ["cell", "ring"]))
+    visitors = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("query_parts"))
+    # a row per block
+    parts = F.broadcast(sizes.select("block", F.ceil(F.col("n") / TILE).cast("int").alias("item_parts")).join(
+        F.broadcast(visitors), "block"))
 
     def dealt(rows: DataFrame, own: str, other: str, role: int) -> DataFrame:
-        placed = rows.join(parts, ["cell", "ring"])
+        placed = rows.join(parts, "block")
         return placed.select(
-            "cell", "ring", F.pmod(F.xxhash64("item"), F.col(f"{own}_parts")).cast("int").alias("items" if role else "queries"),
+            "block", F.pmod(F.xxhash64("item"), F.col(f"{own}_parts")).cast("int").alias("items" if role else "queries"),
             F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias("queries" if role else "items"),
             F.lit(role).alias("role"), "item", "owner", "v")
 
@@ -204,25 +234,29 @@ def nearest_join(df: DataFrame, queries: DataFrame, k: int, id_column: str = "re
     # without any vector but zeros there is no cell but theirs
     chosen = Pivots(m[first] if len(first) else np.eye(1, m.shape[1]), [sample[i].item for i in first], [sample[i].owner for i in first])
     schema = ", ".join(f"{c} {t}" for c, t in slim.dtypes) + ", cell int, ring int"
-    items = via_table(slim.mapInArrow(partial(_assign, pivots=chosen), schema), "cells")
+    placed = via_table(slim.mapInArrow(partial(_assign, pivots=chosen), schema), "cells")
     # a row per unit: pivots times rings at most
-    counted = [(r.cell, r.ring, r.n) for r in items.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n")).collect()]
-    units = df.sparkSession.createDataFrame(counted, "cell int, ring int, n long")
+    counted = [(r.cell, r.ring, r.n) for r in placed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n")).collect()]
+    blocks = _blocks(chosen, counted)
+    units = df.sparkSession.createDataFrame(blocks, "cell int, ring int, block int")
+    items = placed.join(F.broadcast(units), ["cell", "ring"]).select("item", "owner", "v", "block")
+    sizes = items.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     ids = queries.select(F.col(id_column).alias("item"))
     asked = items.join(ids, "item", "left_semi")
     size = (chosen.width, k, other_entity)
 
-    home = via_table(_tiles(items, units, asked, *size), "home")
+    home = via_table(_tiles(items, sizes, asked, *size), "home")
     last = home.groupBy("query_id").agg(F.sort_array(F.collect_list("similarity"), asc=False).alias("s")).select(
         F.col("query_id").alias("item"), F.get("s", F.lit(k - 1)).alias("bound"))
-    table = np.array([x[:2] for x in counted], np.int64).reshape(-1, 2)
-    bounded = asked.select("item", "owner", "v").join(last, "item", "left")
-    visits = via_table(bounded.mapInArrow(partial(_visits, pivots=chosen, units=table, k=k, other_entity=other_entity), schema), "visits")
+    table = np.array(blocks, np.int64).reshape(-1, 3)
+    bounded = asked.join(last, "item", "left")
+    met = ", ".join(f"{c} {t}" for c, t in slim.dtypes) + ", met array<int>"
+    away = via_table(bounded.mapInArrow(partial(_visits, pivots=chosen, units=table, k=k, other_entity=other_entity), met), "visits")
+    visits = away.withColumn("block", F.explode("met"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    found = home.unionByName(_tiles(items, units, visits, *size)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = home.unionByName(_tiles(items, sizes, visits, *size)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    met = asked.select("cell", "ring").unionByName(visits.select("cell", "ring"))
-    work = (met.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(units), ["cell", "ring"])
-            .agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("products")))
+    times = asked.select("block").unionByName(visits.select("block")).groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    work = times.join(F.broadcast(sizes), "block").agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("products"))
     work = work.select(F.lit(asked.count()).cast("long").alias("n_queries"), F.lit(n).cast("long").alias("n_items"), "products")
     return found, work

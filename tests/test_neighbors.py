@@ -66,3 +66,24 @@ def test_odd_tables(spark):
     assert similarity.similar_reviews(many, list(range(290)), 2).count() == 580
     with pytest.raises(ValueError, match="999"):
         similarity.similar_reviews(many, [*range(290), 999], 2)
+
+
+def test_a_query_that_meets_everything_is_one_row(spark, monkeypatch):
+    """Vectors without clusters: nothing is pruned, and yet no query's vector is repeated for every unit."""
+    r = np.random.default_rng(5)
+    rows = [(i, f"e{i % 4}", r.standard_normal(24).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "review_id long, entity_id string, embedding array<double>")
+    stored = {}
+
+    def kept(table, label):
+        stored[label] = table.cache()
+        return stored[label]
+
+    monkeypatch.setattr(neighbors, "via_table", kept)
+    monkeypatch.setattr(neighbors, "STEP", 7)
+    found, work = neighbors.nearest_join(df, df.where("review_id % 20 = 0").select("review_id"), 5)
+    got = {(x.query_id, x.item_id, round(x.similarity, 6) + 0.0, x["rank"]) for x in found.collect()}
+    assert got == plain(rows, set(range(0, 1500, 20)), 5, False)
+    assert stored["visits"].count() == 75
+    w = work.first()
+    assert w.products > 0.5 * w.n_queries * w.n_items

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,9 @@ def once(value, use: Callable[[Column], Column]) -> Column:
     """
     value = F.col(value) if isinstance(value, str) else value
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column, computed in its place. Filters on a plain column are pushed below it, and below a shuffle,
+    where the column is computed for the filter alone and then again."""
+    return df.withColumn(name, F.explode(F.array(value)))

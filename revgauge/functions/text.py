@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -106,7 +107,8 @@ def strip_boilerplate(text) -> Column:
 
 
 def collapse_whitespace(text) -> Column:
-    return F.trim(F.regexp_replace(_col(text), f"(?U){BLANK}+", " "))
+    # all runs but a single blank, which is most of them
+    return F.trim(F.regexp_replace(_col(text), rf"(?U) {BLANK}+|[\s\x1c-\x1f&&[^ ]]{BLANK}*", " "))
 
 
 def collapse_punct(text) -> Column:
@@ -135,7 +137,7 @@ def tokenize_ws(text) -> Column:
 
 
 def word_count(text) -> Column:
-    return F.regexp_count(_col(text), F.lit(f"(?U){INK}+"))
+    return F.regexp_count(_col(text), F.lit(f"(?U){INK}++"))
 
 
 def tokenize_simple(text) -> Column:
@@ -146,7 +148,7 @@ def tokenize_simple(text) -> Column:
 def remove_stopwords(tokens, stopwords=None) -> Column:
     """Drop stopwords and tokens of one or two characters."""
     words = sorted(set(fv.ENGLISH_STOPWORDS) | set(fv.DOMAIN_STOPWORDS)) if stopwords is None else list(stopwords)
-    return F.filter(_col(tokens), lambda t: ~t.isin(words) & (F.length(t) > 2))
+    return F.filter(_col(tokens), lambda t: (F.length(t) > 2) & ~t.isin(words))
 
 
 def ngrams(tokens, n: int) -> Column:
@@ -155,8 +157,8 @@ def ngrams(tokens, n: int) -> Column:
         return _col(tokens)
 
     def runs(t):
-        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+        starts = F.slice(t, 1, F.size(t) - (n - 1))
+        joined = F.transform(starts, lambda x, i: F.concat_ws(" ", x, *[F.get(t, i + k) for k in range(1, n)]))
         return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
 
     return once(tokens, runs)
@@ -168,8 +170,10 @@ def strip_prompts(text) -> Column:
     def stripped(v):
         # words every prompt must contain; the odd letters are other cases of s and i, which lower() keeps apart
         t, low = v["t"], v["low"]
-        possible = (_has_any(low, ["things", "feedback", "hear", "scale", "rate", "&amp", "capital"])
-                    | (F.contains(low, F.lit("how")) & _has_any(low, ["feel", "describe", "likely"]))
+        has = lambda *words: reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
+        possible = (has("things", "value", "advisor") | has("feedback", "have") | has("love", "hear") | has("scale")
+                    | has("please", "rate") | has("&amp") | has("client first capital")
+                    | (has("how") & _has_any(low, ["feel", "describe", "likely"]))
                     | _has_any(t, "ſİı"))
         return F.when(possible, F.regexp_replace(t, pattern, " ")).otherwise(t)
 

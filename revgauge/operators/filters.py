@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revgauge import fixed_values as fv
 from revgauge.functions import text
+from revgauge.functions.binding import settled
 from revgauge.operators import corpus
 
 
@@ -37,8 +38,11 @@ def date_floor(df: DataFrame, column: str = "review_date", after_year: int = fv.
     return df.where(F.col(column) >= first)
 
 
-def embeddable_rows(df: DataFrame, column: str = "review_text_clean", min_tokens: int = fv.MIN_TOKENS_TO_ENCODE):
-    """Rows with enough words to encode (NULL and blank texts have none)."""
+def embeddable_rows(df: DataFrame, column: str = "review_text_clean", min_tokens: int = fv.MIN_TOKENS_TO_ENCODE,
+                    count: str | None = None):
+    """Rows with enough words to encode (NULL and blank texts have none); ``count`` names a column to keep their number."""
+    if count:
+        return settled(df, count, text.word_count(column)).where(F.col(count) >= min_tokens)
     return df.where(text.word_count(column) >= min_tokens)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from revgauge import fixed_values as fv
 from revgauge.functions import text
+from revgauge.functions.binding import settled
 from revgauge.operators import corpus, dedup, encode, filters, intake, lexical, rollup, scoring
 from revgauge.operators.groups import hash_group_assignment, real_groups
 from revgauge.sources.artifacts import write_artifacts
@@ -28,7 +29,7 @@ def standard_stage(raw: DataFrame, excluded: DataFrame | Sequence[str] = ()) ->
 
 def clean_stage(standard: DataFrame) -> DataFrame:
     """Clean text with its lengths and token counts; near-empty reviews dropped."""
-    cleaned = standard.withColumn("review_text_clean", text.clean_text("review_text_raw"))
+    cleaned = settled(standard, "review_text_clean", text.clean_text("review_text_raw"))
     cleaned = filters.min_text_length(cleaned)
     return intake.length_features(cleaned).drop("word_len")
 
@@ -37,8 +38,7 @@ def prepared_stage(clean: DataFrame) -> DataFrame:
     """Rows to encode: recent, distinct, decoded, prompts stripped, long enough, with their number of words and hash."""
     rows = dedup.drop_exact_duplicates(filters.date_floor(clean))
     body = text.strip_prompts(text.collapse_whitespace(text.html_unescape("review_text_clean")))
-    rows = filters.embeddable_rows(rows.withColumn("review_text_processed", body), "review_text_processed")
-    rows = rows.withColumn("total_tokens_raw", text.word_count("review_text_processed"))
+    rows = filters.embeddable_rows(settled(rows, "review_text_processed", body), "review_text_processed", count="total_tokens_raw")
     return dedup.with_review_hash(rows)
 
 

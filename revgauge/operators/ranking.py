@@ -5,7 +5,7 @@ The working form is long: (entity_id, entity_name, entity_type, review_count, me
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,11 +115,13 @@ def leaderboard_extremes(board: DataFrame) -> DataFrame:
 def evidence_topk(scored: DataFrame, dims: Sequence[str], top_n: int = 3, length: int = 200) -> DataFrame:
     """The reviews that score highest per entity and dimension, with snippet and tier.
 
-    Texts are cut to snippets before rows are multiplied, and each task forwards its best ``top_n`` only.
+    Texts are cut to snippets before rows are multiplied, and each task forwards its best ``top_n`` only. Reviews of an
+    entity come together first, in pieces of even size, so that most rows drop out where they are and no task sorts more
+    than a piece, however large the table or the entity.
     """
     best = Window.partitionBy("entity_id", "dim").orderBy(F.desc("score"), "review_id")
-    return (_evidence_rows(scored, dims, length)
-            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n))
+    return _evidence_rows(scored, dims, length, lambda slim: slim.hint("rebalance", "entity_id"), lambda rows: (
+        rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)))
 
 
 def evidence_list(scored: DataFrame, dim: str, length: int = 200) -> DataFrame:
@@ -127,14 +129,17 @@ def evidence_list(scored: DataFrame, dim: str, length: int = 200) -> DataFrame:
     return _evidence_rows(scored, [dim], length).orderBy("entity_id", F.desc("score"), "review_id")
 
 
-def _evidence_rows(scored: DataFrame, dims: Sequence[str], length: int) -> DataFrame:
+def _evidence_rows(scored: DataFrame, dims: Sequence[str], length: int, dealt: Callable = lambda slim: slim,
+                   chosen: Callable = lambda rows: rows) -> DataFrame:
+    """``dealt`` places the reviews, one row each; ``chosen`` picks of the multiplied rows before these get their labels."""
     cells = [F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(f"sim_{d}"), F.lit(0.0)).alias("score")) for d in dims]
     reviewer = F.coalesce(F.nullif(F.col("reviewer_name"), F.lit("")), F.lit("Anonymous"))
-    slim = scored.select("review_id", "entity_id", reviewer.alias("reviewer"),
-                         F.date_format("review_date", "yyyy-MM-dd").alias("review_day"),
-                         text.snippet("review_text_raw", length).alias("snippet"), F.array(*cells).alias("_c"))
-    rows = slim.select("review_id", "entity_id", "reviewer", "review_day", "snippet", F.inline("_c"))
-    return rows.withColumn("tier", numbers.tier_from_breakpoints("score"))
+    slim = dealt(scored.select("review_id", "entity_id", "reviewer_name", "review_date",
+                               text.snippet("review_text_raw", length).alias("snippet"), F.array(*cells).alias("_c")))
+    rows = chosen(slim.select("review_id", "entity_id", "reviewer_name", "review_date", "snippet", F.inline("_c")))
+    return rows.select("review_id", "entity_id", reviewer.alias("reviewer"),
+                       F.date_format("review_date", "yyyy-MM-dd").alias("review_day"), "snippet", "dim", "score",
+                       numbers.tier_from_breakpoints("score").alias("tier"), *(["rank"] if "rank" in rows.columns else []))
 
 
 def top_ids(entities: DataFrame, method: str, dim: str, top_n: int = 10) -> DataFrame:

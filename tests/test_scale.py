@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from revgauge.operators import ranking
 from revgauge.plans import stages
 
 
@@ -29,3 +30,19 @@ def test_texts_are_cleaned_once(spark):
     assert got[1].total_tokens_raw == 12
     assert got[1].tokens_processed == ["listens,", "explains", "calls", "back", "keeps", "word", "stocks"]
     assert got[1].trigrams[0] == "listens, explains calls" and len(got[1].trigrams) == 5 and len(got[1].bigrams) == 6
+
+
+def test_evidence_of_an_entity_comes_together_first(spark):
+    rows = [(i, "hot" if i % 3 else f"e{i % 40}", "me" if i % 2 else "", f"text {i}", (i * 37 % 101) / 101, i / 300) for i in range(300)]
+    df = spark.createDataFrame(rows, "review_id long, entity_id string, reviewer_name string, review_text_raw string, sim_a double, "
+                               "sim_b double").withColumn("review_date", F.lit("2024-01-05").cast("timestamp_ntz"))
+    out = ranking.evidence_topk(df, ["a", "b"])
+    assert out.columns == ["review_id", "entity_id", "reviewer", "review_day", "snippet", "dim", "score", "tier", "rank"]
+    assert "rebalance_partitions_by_col" in plan(out).lower()
+    want = set()
+    for k, dim in ((4, "a"), (5, "b")):
+        for e in {r[1] for r in rows}:
+            best = sorted((r for r in rows if r[1] == e), key=lambda r: (-r[k], r[0]))[:3]
+            want |= {(r[0], e, r[2] or "Anonymous", r[3], dim, r[k], n + 1) for n, r in enumerate(best)}
+    got = [(r.review_id, r.entity_id, r.reviewer, r.snippet, r.dim, r.score, r["rank"]) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)

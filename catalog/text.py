@@ -183,7 +183,7 @@ def top_bigrams(spark, d):
 SELECT ngram, count(*) AS n FROM g GROUP BY ngram""")
 def ngrams(spark, d):
     tokens = text.remove_stopwords(text.tokenize_ws("review_text_clean"))
-    return shaped(lexical.ngram_counts(v.text_reviews(spark, d), tokens, 3))
+    return shaped(lexical.ngram_counts(v.text_reviews(spark, d, pieces=True), tokens, 3))
 
 
 def _joined_ngrams(n):

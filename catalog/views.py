@@ -9,7 +9,7 @@ from catalog.base import table
 from revgauge import fixed_values as fv
 from revgauge.functions import text
 from revgauge.operators import rollup, scoring
-from revgauge.session import spread, via_table
+from revgauge.session import in_pieces, spread, via_table
 
 DIMS = ("trust", "listening", "clarity", "responsiveness", "life_events", "expertise")
 NAMES = ("The Eron, CFP®", "Ander Onth", "La Réaux", "Der Und", "Que Ción", "In The", "MS Jdan")
@@ -24,10 +24,10 @@ def _type(user) -> object:
     return F.when(user % 5 == 0, "firm").otherwise("advisor")
 
 
-def text_reviews(spark: SparkSession, d: str) -> DataFrame:
-    """One review per document."""
+def text_reviews(spark: SparkSession, d: str, pieces: bool = False) -> DataFrame:
+    """One review per document; ``pieces``: for counts whose memory grows with the text of a task."""
     docs, events, labels = (table(spark, d, t) for t in ("documents", "events", "labels"))
-    docs = spread(docs.select("doc_id", "text", "source"), "doc_id")
+    docs = in_pieces(docs, "doc_id", "n_chars") if pieces else spread(docs.select("doc_id", "text", "source"), "doc_id")
     user = F.col("user_id")
     joined = docs.join(events.select("event_id", "ts", "user_id"), docs.doc_id == F.col("event_id")).join(
         labels.select("doc_id", "quality"), "doc_id", "left")

@@ -23,7 +23,11 @@ def _ngram_rows(df: DataFrame, tokens, n: int) -> DataFrame:
 
 
 def ngram_counts(df: DataFrame, tokens, n: int = 1) -> DataFrame:
-    """Occurrences of each n-gram over all rows of an array column; counted per task before the shuffle."""
+    """Occurrences of each n-gram over all rows of an array column; counted per task before the shuffle.
+
+    Most long n-grams are distinct. What a task counts stays in its memory if ``df`` comes in pieces of ``session.PIECE``
+    characters (see ``session.in_pieces``).
+    """
     return _counts(_ngram_rows(df, tokens, n))
 
 

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []   # the folder of a local session without a setting
 
@@ -72,6 +73,20 @@ def spread(source: DataFrame, key: str) -> DataFrame:
     return source.repartition(cores, key) if source.rdd.getNumPartitions() < cores else source
 
 
+#: Characters of text in a piece whose words or n-grams one task counts.
+PIECE = 1 << 25
+
+
+def in_pieces(source: DataFrame, key: str, length: str) -> DataFrame:
+    """Deal a source table of texts out by ``key`` in pieces of some ``PIECE`` characters, for work whose memory grows with the
+    text of a task. A join by ``key`` that follows keeps the pieces and shuffles no text again. Column ``length`` is read to
+    count the pieces only. Small tables are spread."""
+    pieces = -(-(source.agg(F.sum(length)).first()[0] or 0) // PIECE)
+    if pieces <= source.sparkSession.sparkContext.defaultParallelism:
+        return spread(source, key)
+    return source.repartition(int(pieces), key)
+
+
 def small_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that must be small (queries, group codes) on the driver; more than ``limit`` is an error."""
     rows = df.limit(limit + 1).collect()

@@ -5,7 +5,10 @@ import io
 
 from pyspark.sql import functions as F
 
-from revgauge.operators import ranking
+from catalog import views as v
+from revgauge import session
+from revgauge.functions import text
+from revgauge.operators import lexical, ranking
 from revgauge.plans import stages
 
 
@@ -32,6 +35,16 @@ def test_texts_are_cleaned_once(spark):
     assert got[1].trigrams[0] == "listens, explains calls" and len(got[1].trigrams) == 5 and len(got[1].bigrams) == 6
 
 
+def test_texts_come_in_pieces(spark, sf, monkeypatch):
+    n = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum("n_chars")).first()[0]
+    monkeypatch.setattr(session, "PIECE", n // 30)
+    rows = v.text_reviews(spark, sf, pieces=True)
+    sizes = [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.sum(F.length("review_text_raw")).alias("n")).collect()]
+    assert len(sizes) > 16 and max(sizes) < n / 4
+    count = lambda r: {tuple(x) for x in lexical.ngram_counts(r, text.tokenize_ws("review_text_clean"), 3).collect()}
+    assert count(rows) == count(v.text_reviews(spark, sf))
+
+
 def test_evidence_of_an_entity_comes_together_first(spark):
     rows = [(i, "hot" if i % 3 else f"e{i % 40}", "me" if i % 2 else "", f"text {i}", (i * 37 % 101) / 101, i / 300) for i in range(300)]
     df = spark.createDataFrame(rows, "review_id long, entity_id string, reviewer_name string, review_text_raw string, sim_a double, "

@@ -12,14 +12,25 @@ from pyspark.sql import functions as F
 from revgauge.session import scratch_dir
 
 
+#: Spark's setting that removes the shuffle files of a query at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: it is computed once and outlives its executors."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    """Write ``df`` to the shared scratch folder and read it back: it is computed once and outlives its executors.
+
+    The shuffle files of the write go when it ends, not when the driver next collects garbage."""
+    path, conf = scratch_dir(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

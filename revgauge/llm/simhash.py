@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revgauge.llm.base import salted_join, shuffle_width, signed, stored, texts
@@ -208,14 +208,28 @@ def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     """The rows of ``docs``, all columns as they are, one of each class of ``near_duplicates``: the one with the
     smallest id; rows without an id come last, rows that share one are ordered by a hash of the text.
 
-    Rows are numbered as they are stored, so of rows with the same id and text one stays too. Every row belongs to a class,
-    texts that are null, empty or without words to that of fingerprint zero; an empty table gives no rows.
+    Rows are named by id and hash of the text, and no copy of them is stored; of rows with the same name one stays too, the
+    first as they are read. Every row belongs to a class, texts that are null, empty or without words to that of fingerprint
+    zero; an empty table gives no rows.
     """
-    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")), "rows")
-    own = F.col("row")
-    order = F.struct(own[doc_id].isNull().alias("last"), own[doc_id].alias("id"), F.xxhash64(own[text]).alias("h"), F.col("n"))
-    marked = stored(fingerprints(numbered.select(order.alias("first"), own[text].alias("text")), "text", "first", width, seed),
+    order = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
+    marked = stored(fingerprints(docs.select(order.alias("first"), F.col(text).alias("text")), "text", "first", width, seed),
                     "fingerprints").withColumnRenamed("doc_id", "first")
     classed = classes(marked.groupBy("fp").agg(F.min("first").alias("first")), within, bucket)
-    winners = classed.select(F.col("least.n").alias("n")).distinct()
-    return numbered.join(winners, "n", "left_semi").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), order.alias("first"), F.monotonically_increasing_id().alias("n"))
+    copies = marked.groupBy("first").agg(F.count("*").alias("copies"))
+    winners = classed.select(F.col("least").alias("first"), F.lit(True).alias("won")).distinct()
+    # the names that go, mostly far fewer than those that stay, and those of which one row of several stays
+    others = stored(copies.join(winners, "first", "left").where("won is null or copies > 1"), "others")
+
+    def against(chosen: DataFrame, how: str) -> DataFrame:
+        a, b = rows["first"], chosen["first"]
+        return rows.join(chosen, a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"]), how)
+
+    left = against(others, "left_anti")
+    several = others.where("won")
+    if not several.isEmpty():
+        same = Window.partitionBy("first").orderBy("n")
+        one = against(several, "left_semi").withColumn("place", F.row_number().over(same)).where("place = 1")
+        left = left.unionByName(one.drop("place"))
+    return left.select("row.*")

@@ -5,7 +5,10 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from revgauge.llm import base, simhash
 from revgauge.llm.queries import tokenizer_path
 from test_llm_dedup import plain_classes, plain_repeats
 from test_llm_text import plain_passages
@@ -95,3 +98,39 @@ def test_passages_of_rows_that_share_an_id(spark, sf):
     docs = odd(spark, [(1, a + shared), (2, shared + c), (3, shared)])
     assert left("suffix_array_dedup", docs, sf) == [(1, a + shared), (2, c)]
     assert left("suffix_array_dedup", docs.limit(0), sf) == []
+
+
+def test_near_dedup_stores_no_texts(spark, monkeypatch):
+    a, b, c = (" ".join(WORDS[k:k + 100]) for k in (0, 100, 200))
+    docs = odd(spark, [(7, a), (7, a), (None, a), (5, b), (None, c), (None, c), (9, None)])
+    docs = docs.withColumn("source", F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string"))).cache()
+    kinds = []
+
+    def stored(df, label):
+        kinds.append(df.schema.simpleString())
+        return keep(df, label)
+
+    keep = simhash.stored
+    monkeypatch.setattr(simhash, "stored", stored)
+    got = sorted(((r.doc_id, r.text, r.source) for r in simhash.first_of_each(docs).collect()), key=str)
+    first = {(r.doc_id, r.text): r.source for r in reversed(docs.collect())}
+    assert got == sorted(((d, t, first[d, t]) for d, t in [(7, a), (5, b), (None, c), (9, None)]), key=str)
+    assert kinds and not any("string" in k for k in kinds)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    spark.conf.set(base.CLEAN_UP, "false")
+    seen = []
+
+    class Watched:
+        def __init__(self, df):
+            self.sparkSession, self.schema, self.write = df.sparkSession, df.schema, self
+            self.df = df
+
+        def parquet(self, path):
+            seen.append(spark.conf.get(base.CLEAN_UP))
+            self.df.write.parquet(path)
+
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert base.stored(Watched(rows), "rows").count() == rows.count() == 7
+    assert seen == ["true"] and spark.conf.get(base.CLEAN_UP) == "false"

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from revgauge.llm.base import SpanHash, byte_columns, mix64, shuffle_width, signed, stored
 
 #: Bytes worked on at once in a task; longer texts are taken in overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: ``place * PACK**2 + back * PACK + ahead`` keeps a place with the first and last string that it stands for.
 PACK = 1 << 10
 
